@@ -1,6 +1,476 @@
-"""Queries of the terminology operators, with their SQL."""
+"""Queries of the terminology operators over the test tables, with their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from termloom.functions import text as X
+from termloom.operators import annotate, lexicon, linking, lookup, packed, tables
+from termloom.session import maybe_broadcast, table
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _norm(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower(strip_accents({x})), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _fold(w: str) -> str:
+    for a, b in X.SPELLINGS:
+        w = f"regexp_replace({w}, '{a}', '{b}'{'' if a.startswith('^') else ', ' + chr(39) + 'g' + chr(39)})"
+    return w
+
+
+_FILL = "[" + ", ".join(f"'{w}'" for w in X.FILLER_WORDS) + "]"
+_CTX = "[" + ", ".join(f"'{w}'" for w in X.CONTEXT_WORDS) + "]"
+
+
+def _plural(w: str) -> str:
+    return f"case when length({w}) > 4 and {w}[-1] = 's' and not regexp_matches({w}, '(ss|us|is)$') then {w}[:-2] else {w} end"
+
+
+def _clean(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g'), '(?i)\\b(without|except|excluding|other than)\\b[^,;]*', ' ', 'g')"
+
+
+def _folded(x: str) -> str:
+    return f"list_transform(list_transform(list_filter(string_split({_norm(_clean(x))}, ' '), lambda w: w <> ''), lambda w: {_fold('w')}), lambda w: {_plural('w')})"
+
+
+def _key(x: str) -> str:
+    """The word set as a sorted list; null if too vague. Expects no null."""
+    base = f"list_sort(list_distinct(list_filter({_folded(x)}, lambda w: not list_contains({_FILL}, w))))"
+    return f"(select case when len(k) = 0 or (len(k) = 1 and length(k[1]) < 4) then null else k end from (select {base} k))"
+
+
+_HOPS = "('umls_cui_of', 'may_be', 'maps_to', 'maps_to_approx', 'mapped_from', 'approx_mapped_from')"
+_CONF = "coalesce(confidence, case when relationship_id in ('maps_to', 'mapped_from') then 0.8 when relationship_id in ('maps_to_approx', 'approx_mapped_from') then 0.7 else 1.0 end)"
+
+
+def _t(s: SparkSession, d: str, n: str) -> DataFrame:
+    return table(s, d, n)
+
+
+# -- scalar functions --------------------------------------------------------------------
+
+
+@query(f"select synonym_id, {_norm('term')} norm from concept_synonym where term is not null")
+def q_normalize_terms(s, d):
+    return _t(s, d, "concept_synonym").filter("term is not null").select("synonym_id", X.normalize(F.col("term")).alias("norm"))
+
+
+@query()
+def q_normalize_documents(s, d):
+    n = X.normalize(F.col("text"))
+    return _t(s, d, "documents").filter("text is not null").select("doc_id", F.length(n).alias("n_chars_folded"), F.xxhash64(n).alias("fold_hash"))
+
+
+@query(f"select concept_id, array_to_string({_key('name')}, ' ') as word_key, len(list_intersect({_folded('name')}, ['nos', 'unspecified', 'unspec'])) > 0 as unspecified from concept where name is not null")
+def q_word_key(s, d):
+    ws = X.word_set(F.col("name"))
+    return _t(s, d, "concept").filter("name is not null").select("concept_id", F.array_join(ws["key"], " ").alias("word_key"), ws["unspecified"].alias("unspecified"))
+
+
+_BARE = "replace(code, '.', '')"
+_AT = f"case when vocabulary_id = 'ICD9CM' and {_BARE}[1] = 'E' then 4 else 3 end"
+
+
+@query(f"""select concept_id, case when length({_BARE}) <= {_AT} then {_BARE} else {_BARE}[:{_AT}] || '.' || {_BARE}[{_AT} + 1:] end dotted,
+    case when upper(code[1]) = 'R' then 'symptom' when upper(code[1]) between 'V' and 'Z' then 'observation' else 'condition' end domain_of_code,
+    case when length({_BARE}) = 3 then 'category' when is_billable then 'code' else 'subcategory' end class_of_code,
+    case when length({_BARE}) <= 2 then {_BARE} else {_BARE}[:2] || '.' || {_BARE}[3:] end dotted_procedure from concept where vocabulary_id in ('ICD10CM', 'ICD9CM')""")
+def q_dotted_codes(s, d):
+    c = _t(s, d, "concept").filter(F.col("vocabulary_id").isin("ICD10CM", "ICD9CM"))
+    return c.select("concept_id", X.dotted(F.col("code"), F.col("vocabulary_id")).alias("dotted"), X.code_domain(F.col("code")).alias("domain_of_code"),
+                    X.code_class(F.col("code"), F.col("is_billable")).alias("class_of_code"), X.dotted_procedure(F.col("code")).alias("dotted_procedure"))
+
+
+@query(f"""with n as (select synonym_id, {_norm('term')} norm from concept_synonym where term is not null), l as (select *, regexp_extract(norm, '(\\S+)$', 1) w from n)
+    select synonym_id, case when length(w) > 4 and w like '%ies' then regexp_replace(norm, 'ies$', 'y') when length(w) > 3 and w like '%s' and not regexp_matches(w, '(ss|us|is)$') then norm[:-2] else norm end singular from l""")
+def q_singular_terms(s, d):
+    return _t(s, d, "concept_synonym").filter("term is not null").select("synonym_id", X.singular(X.normalize(F.col("term"))).alias("singular"))
+
+
+@query("""with t as (select fee_row_id, trim(units) t from ns_msi_sample where units is not null), n as (select *, regexp_extract(t, '^\\$?\\s*([\\d,]+(?:\\.\\d+)?)', 1) num from t)
+    select fee_row_id, case when num <> '' and not contains(t, '%') then try_cast(replace(num, ',', '') as decimal(12,4)) end number,
+    nullif(trim(case when num <> '' and not contains(t, '%') then regexp_replace(t, '^\\$?\\s*[\\d,]+(?:\\.\\d+)?\\s*', '') else t end), '') note from n""")
+def q_printed_fees(s, d):
+    p = X.printed_fee(F.col("units"), F.lit("units"))
+    return _t(s, d, "ns_msi_sample").filter("units is not null").select("fee_row_id", p["number"].alias("number"), p["note"].alias("note"))
+
+
+@query("select o_orderkey, o_orderdate::date as order_day from orders where o_orderdate is not null")
+def q_printed_dates(s, d):
+    o = _t(s, d, "orders").filter("o_orderdate is not null")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "MMMM d, yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "d MMM yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select("o_orderkey", X.printed_date(text).alias("order_day"))
+
+
+# -- lookups -----------------------------------------------------------------------------
+
+
+def _queries(s, d):
+    return _t(s, d, "senses").filter("target is not null").select(F.col("target").alias("query")).distinct()
+
+
+_Q = f"q as (select distinct target as query, {_norm('target')} norm from senses where target is not null and {_norm('target')} <> '')"
+_M = f"m as (select q.query, s.concept_id, s.term, s.n = q.norm as exact from q join (select distinct concept_id, term, {_norm('term')} n from concept_synonym where term is not null) s on s.n = q.norm or starts_with(s.n, q.norm || ' '))"
+
+
+@query(f"""with {_Q}, {_M}, b as (select query, concept_id, min((not exact)::int::varchar || term) k from m group by all)
+    select * from (select query, row_number() over (partition by query order by k, concept_id)::int as "rank", concept_id, vocabulary_id, code, name, k[2:] term, k[1] = '0' as exact from b join concept using (concept_id)) where "rank" <= 20""")
+def q_find_terms(s, d):
+    return lookup.find_terms(_queries(s, d), _t(s, d, "concept_synonym"), _t(s, d, "concept"))
+
+
+@query(f"""with {_Q}, {_M},
+    h as (select m.query, m.exact, m.term, c.name source_name, t.code, t.name, t.is_billable, {_CONF} c from m join concept c using (concept_id) join concept_relationship r on r.concept_id_1 = m.concept_id and relationship_id in {_HOPS} join concept t on t.concept_id = r.concept_id_2 and t.vocabulary_id = 'ICD10CM'
+        union all select m.query, m.exact, m.term, c.name, c.code, c.name, c.is_billable, 1.0 from m join concept c on c.concept_id = m.concept_id and c.vocabulary_id = 'ICD10CM'),
+    k as (select query, code, name, not exact far, not coalesce({_key('source_name')} = {_key('term')}, false) aside, c * case when regexp_matches(name, '(?i)\\bin (diseases|conditions) classified elsewhere\\b') then 0.5 else 1.0 end c, not coalesce(is_billable, false) nobill, not contains(lower(name), 'unspecified') special from h),
+    b as (select * from k qualify row_number() over (partition by query, code, name order by far, aside, -c, nobill, special) = 1)
+    select * from (select query, row_number() over (partition by query order by far, aside, -c, nobill, special, code)::int as "rank", code, name, round(c, 6) confidence from b) where "rank" <= 20""")
+def q_find_codes(s, d):
+    return lookup.find_codes(_queries(s, d), _t(s, d, "concept_synonym"), _t(s, d, "concept"), _t(s, d, "concept_relationship"), "ICD10CM")
+
+
+@query(f"""with c as (select concept_id, concept_id code_id, case when regexp_matches(name, '(?i)\\bin (diseases|conditions) classified elsewhere\\b') then 0.5 else 1.0 end conf, true own from concept where vocabulary_id in ('ICD10CM', 'ICD9CM', 'NS_MSI')
+        union all select concept_id_1, concept_id_2, {_CONF}, false from concept_relationship where relationship_id in {_HOPS}),
+    b as (select c.concept_id, t.vocabulary_id, t.code, t.name, coalesce(t.is_billable, false) billable, round(max(conf), 3) confidence from c join concept t on t.concept_id = c.code_id and t.vocabulary_id in ('ICD10CM', 'ICD9CM', 'NS_MSI') and (own or coalesce(t.concept_class, '') not in ('chapter', 'block')) group by all)
+    select concept_id, vocabulary_id, code, name, confidence, r "rank" from (select *, row_number() over (partition by concept_id, vocabulary_id order by round(confidence - case when billable then 0 else 0.1 end, 6) desc, not contains(lower(name), 'unspecified'), code)::int r from b where confidence >= 0.4) where r <= 3""")
+def q_concept_codes(s, d):
+    return lookup.concept_codes(_t(s, d, "concept"), _t(s, d, "concept_relationship"), ["ICD10CM", "ICD9CM", "NS_MSI"])
+
+
+@query("""select l.name lay_name, t.code, t.name, min(r.map_priority) map_priority, max(r.confidence) confidence from concept l join concept_relationship r on r.concept_id_1 = l.concept_id and r.relationship_id = 'may_be'
+    join concept t on t.concept_id = r.concept_id_2 where l.vocabulary_id = 'LAY' or l.concept_id in (select concept_id from concept_synonym where term_type = 'lay') group by all""")
+def q_lay_candidates(s, d):
+    c, syn = _t(s, d, "concept"), _t(s, d, "concept_synonym").filter("term_type = 'lay'").select("concept_id").distinct().withColumn("lay", F.lit(True))
+    lay = c.join(syn, "concept_id", "left").filter((F.col("vocabulary_id") == "LAY") | F.col("lay")).select("concept_id", F.col("name").alias("lay_name"))
+    e = _t(s, d, "concept_relationship").filter("relationship_id = 'may_be'").select(F.col("concept_id_1").alias("concept_id"), "concept_id_2", "map_priority", "confidence")
+    return lay.join(e, "concept_id").join(c.select(F.col("concept_id").alias("concept_id_2"), "code", "name"), "concept_id_2").groupBy("lay_name", "code", "name").agg(F.min("map_priority").alias("map_priority"), F.max("confidence").alias("confidence"))
+
+
+@query()
+def q_hit_rate(s, d):
+    found = q_find_codes(s, d)
+    expected = _queries(s, d).join(found.filter("rank = 1").select("query", F.substring("code", 1, 3).alias("expected")), "query", "left").withColumn("expected", F.coalesce("expected", F.lit("*")))
+    return lookup.hit_rate(found, expected)
+
+
+# -- tables ------------------------------------------------------------------------------
+
+_LAST = "select * from concept_snapshot where concept_id is not null qualify row_number() over (partition by vocabulary_id, code order by snapshot_date desc nulls last, received_at desc nulls last, snapshot_row_id desc) = 1"
+
+
+def _delivery(s, d):
+    rows = _t(s, d, "concept_snapshot").filter("concept_id is not null").select("vocabulary_id", "code", "concept_id", "name", "snapshot_date", "received_at", "snapshot_row_id")
+    return tables.last_wins(rows, ["vocabulary_id", "code"], ["snapshot_date", "received_at", "snapshot_row_id"])
+
+
+@query(_LAST.replace("*", "vocabulary_id, code, concept_id, name, snapshot_row_id", 1))
+def q_last_wins(s, d):
+    return _delivery(s, d).select("vocabulary_id", "code", "concept_id", "name", "snapshot_row_id")
+
+
+@query("select concept_id, min_by(name, snapshot_row_id) as name, min(snapshot_row_id) snapshot_row_id from concept_snapshot where concept_id is not null group by 1")
+def q_first_wins(s, d):
+    rows = _t(s, d, "concept_snapshot").filter("concept_id is not null").select("concept_id", "name", "snapshot_row_id")
+    return tables.first_wins(rows, ["concept_id"], ["snapshot_row_id"])
+
+
+@query(f"""with n as ({_LAST}) select coalesce(o.concept_id, n.concept_id) concept_id, coalesce(o.vocabulary_id, n.vocabulary_id) vocabulary_id, coalesce(o.code, n.code) code,
+    case when n.code is not null then n.name else o.name end as name, o.domain, case when n.code is null then o.valid_end end valid_end
+    from (select * from concept where vocabulary_id <> 'UMLS') o full join n on o.vocabulary_id = n.vocabulary_id and o.code = n.code""")
+def q_upsert(s, d):
+    old = _t(s, d, "concept").filter("vocabulary_id <> 'UMLS'").select("concept_id", "vocabulary_id", "code", "name", "domain", "valid_end")
+    return tables.upsert(old, _delivery(s, d).select("vocabulary_id", "code", "concept_id", "name"), ["vocabulary_id", "code"], ["name"], ("valid_end",))
+
+
+@query(f"with n as ({_LAST}) select vocabulary_id, code, name from concept where vocabulary_id = 'ICD10CM' union all select vocabulary_id, code, name from n where (vocabulary_id, code) not in (select (vocabulary_id, code) from concept where vocabulary_id = 'ICD10CM')")
+def q_insert_absent(s, d):
+    cols = ["vocabulary_id", "code", "name"]
+    return tables.insert_absent(_t(s, d, "concept").filter("vocabulary_id = 'ICD10CM'").select(*cols), _delivery(s, d).select(*cols), ["vocabulary_id", "code"])
+
+
+@query("""select concept_id_1, concept_id_2, relationship_id, source from concept_relationship where source is null or source not like 'MATCH/%'
+    union all select distinct concept_id_1, concept_id_2, relationship_id, 'MATCH/again' from concept_relationship where source = 'MATCH/words'""")
+def q_refresh_source(s, d):
+    cols = ["concept_id_1", "concept_id_2", "relationship_id", "source"]
+    e = _t(s, d, "concept_relationship").select(*cols)
+    return tables.refresh_source(e, e.filter("source = 'MATCH/words'").withColumn("source", F.lit("MATCH/again")).distinct(), F.col("source").startswith("MATCH/"))
+
+
+@query("""select concept_id, case when valid_end is null and concept_id not in (select concept_id from concept_snapshot where snapshot_date = (select max(snapshot_date) from concept_snapshot) and concept_id is not null)
+    then date '2026-09-30' else valid_end end valid_end from concept where vocabulary_id in ('ICD10CM', 'NS_MSI')""")
+def q_retire(s, d):
+    snap = _t(s, d, "concept_snapshot")
+    newest = snap.agg(F.max("snapshot_date").alias("snapshot_date"))
+    present = snap.filter("concept_id is not null").join(F.broadcast(newest), "snapshot_date").select("concept_id")  # one row
+    return tables.retire(_t(s, d, "concept").filter(F.col("vocabulary_id").isin("ICD10CM", "NS_MSI")).select("concept_id", "valid_end"), present, ["concept_id"], F.lit("2026-09-30").cast("date"))
+
+
+@query("""with e as (select code, max(effective_end) as on_day from ns_msi_sample where effective_end is not null and code is not null group by 1)
+    select code, on_day as "day" from e where not exists (select 1 from ns_msi_sample f where f.code = e.code and f.effective_start > e.on_day)""")
+def q_terminated_codes(s, d):
+    fees = _t(s, d, "ns_msi_sample").filter("code is not null")
+    ended = fees.filter("effective_end is not null").groupBy("code").agg(F.max("effective_end").alias("day"))
+    starts = fees.filter("effective_start is not null").groupBy("code").agg(F.max("effective_start").alias("day"))  # the last start decides
+    return tables.terminate(ended, starts, "code")
+
+
+@query("""with k as (select distinct code from ns_msi_sample where code is not null), o as (select code, min(concept_id) concept_id from concept where vocabulary_id = 'NS_MSI' and concept_id % 2 = 0 group by 1), m as (select coalesce(max(concept_id), 0) m from concept where vocabulary_id = 'NS_MSI' and concept_id % 2 = 0)
+    select k.code, o.concept_id from k join o using (code) union all select code, m + row_number() over (order by code) from (select code from k anti join o using (code)), m""")
+def q_assign_ids(s, d):
+    known = _t(s, d, "concept").filter("vocabulary_id = 'NS_MSI' and concept_id % 2 = 0").select("code", "concept_id")  # half of the codes are known beforehand
+    return tables.assign_ids(known, _t(s, d, "ns_msi_sample").filter("code is not null").select("code"), ["code"], "concept_id")
+
+
+_FEE_KEYS = ["code", "modifier", "locality", "effective_start"]
+
+
+@query("""with v as (select *, first_value({'u': units, 'a': amount}) over (partition by code, modifier, locality, effective_start order by fee_row_id) f from ns_msi_sample)
+    select code, modifier, locality, effective_start, count(*) n_rows, count(*) filter ({'u': units, 'a': amount} is distinct from f) n_conflicts from v group by 1, 2, 3, 4""")
+def q_conflicts(s, d):
+    return tables.conflicts(_t(s, d, "ns_msi_sample").select(*_FEE_KEYS, "units", "amount", "fee_row_id"), _FEE_KEYS, ["units", "amount"], ["fee_row_id"])
+
+
+@query("""with n as (select code, description, count(*) n, min(fee_row_id) f from ns_msi_sample where code is not null group by 1, 2)
+    select code, description from n qualify row_number() over (partition by code order by coalesce(description <> '', false) desc, n desc, f) = 1""")
+def q_name_mode(s, d):
+    return tables.mode(_t(s, d, "ns_msi_sample").filter("code is not null").select("code", "description", "fee_row_id"), ["code"], "description", "fee_row_id")
+
+
+@query("""with p as (select user_id, ts, max_by(value, event_id) v from events where event_type = 'purchase' group by 1, 2)
+    select e.event_id, e.user_id, e.ts, p.v as last_value from (select * from events where event_type = 'click') e asof left join p on e.user_id = p.user_id and e.ts >= p.ts""")
+def q_asof_value(s, d):
+    e = _t(s, d, "events")
+    left = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
+    right = e.filter("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("last_value"), F.col("event_id").alias("tie"))
+    return tables.asof(left, right, "user_id", "ts", "last_value", "tie")
+
+
+@query("""with f as (select code, effective_start s, effective_end e, modifier, max(fee_row_id) fee_row_id from ns_msi_sample where effective_start <= date '2022-01-01' and (effective_end is null or effective_end >= date '2022-01-01') group by all)
+    select code, modifier, max_by(fee_row_id, {'s': s, 'f': fee_row_id}) fee_row_id from f group by 1, 2""")
+def q_in_force(s, d):
+    day = F.lit("2022-01-01").cast("date")
+    f = _t(s, d, "ns_msi_sample").filter((F.col("effective_start") <= day) & (F.col("effective_end").isNull() | (F.col("effective_end") >= day)))
+    return f.groupBy("code", "modifier").agg(F.max_by("fee_row_id", F.struct("effective_start", "fee_row_id")).alias("fee_row_id"))
+
+
+# -- hierarchy ---------------------------------------------------------------------------
+
+
+@query("""with c as (select distinct code from concept where vocabulary_id = 'ICD10CM'), n as (select code, unnest(range(3, length(code))) n from c where length(code) > 3)
+    select n.code, max_by(p.code, n) parent from n join c p on p.code = n.code[:n] group by 1""")
+def q_prefix_parent(s, d):
+    return lookup.nearest_prefix(_t(s, d, "concept").filter("vocabulary_id = 'ICD10CM'"))
+
+
+@query("""with p as (select distinct code printed, regexp_replace(code, '[-.\\s]+$', '') bare from index_term where code is not null), n as (select *, unnest(range(3, length(bare) + 1)) n from p where length(bare) >= 3), c as (select distinct code from concept where vocabulary_id = 'ICD10CM')
+    select printed, max_by(c.code, n) code from n join c on c.code = regexp_replace(bare[:n], '[-.]+$', '') group by 1""")
+def q_printed_codes(s, d):
+    return lookup.resolve_printed(_t(s, d, "index_term").select(F.col("code").alias("printed")), _t(s, d, "concept").filter("vocabulary_id = 'ICD10CM'"))
+
+
+_OWN = "own as (select distinct concept_id_1 node, concept_id_2 target from concept_relationship where relationship_id in ('mapped_from', 'approx_mapped_from') and concept_id_1 is not null and concept_id_2 is not null)"
+_PAR = "par as (select distinct (case relationship_id when 'is_a' then concept_id_1 else concept_id_2 end) node, (case relationship_id when 'is_a' then concept_id_2 else concept_id_1 end) parent from concept_relationship where relationship_id in ('is_a', 'subsumes'))"
+
+
+@query(f"""with recursive {_OWN}, {_PAR}, nodes as (select concept_id node, lower(name) title, concept_class from concept),
+    w as (select o.node origin, case when regexp_matches(title, 'subsequent encounter|sequela') then 0.0 when contains(title, 'open fracture') then 0.5 else 1.0 end w from (select distinct node from own) o join nodes using (node)),
+    up as (select w.origin, par.parent node from w join par on par.node = w.origin where par.parent not in (select node from own) union select up.origin, par.parent from up join par using (node) where par.parent not in (select node from own)),
+    tot as (select node, sum(w) n from up join w using (origin) group by 1), cnt as (select up.node, own.target, sum(w) c from up join w using (origin) join own on own.node = up.origin group by 1, 2),
+    plain as (select node from nodes where coalesce(concept_class, '') not in ('chapter', 'block') and node not in (select node from own))
+    select node, target, round(0.7 * (0.5 + 0.5 * (c / n)), 3) confidence from (select cnt.*, tot.n, row_number() over (partition by cnt.node order by c desc, target) r from cnt join tot using (node) where tot.n > 0) join plain using (node) where r <= 5 and c / n >= 0.2
+    union all select distinct b.node, k.target, 0.6 from (select node from plain where node not in (select node from tot where n > 0)) b join par using (node)
+        join (select parent, target from par join own using (node) join nodes using (node) where contains(title, 'unspecified')) k on k.parent = par.parent""")
+def q_derived_mappings(s, d):
+    c, e = _t(s, d, "concept"), _t(s, d, "concept_relationship")
+    own = e.filter(F.col("relationship_id").isin("mapped_from", "approx_mapped_from") & F.col("concept_id_1").isNotNull() & F.col("concept_id_2").isNotNull()).select(F.col("concept_id_1").alias("node"), F.col("concept_id_2").alias("target")).distinct()
+    up = F.col("relationship_id") == "is_a"
+    par = e.filter(F.col("relationship_id").isin("is_a", "subsumes")).select(F.when(up, F.col("concept_id_1")).otherwise(F.col("concept_id_2")).alias("node"), F.when(up, F.col("concept_id_2")).otherwise(F.col("concept_id_1")).alias("parent")).distinct()
+    return linking.rollup(c.select(F.col("concept_id").alias("node"), F.col("name").alias("title"), "concept_class"), par, own)
+
+
+# -- linking -----------------------------------------------------------------------------
+
+
+def _names(s, d) -> linking.Names:
+    """Concepts with an even id, and all outside of the code vocabularies, against the codes with an odd one: in the test
+    tables no vocabulary has names in common with another, halves of one do."""
+    c = _t(s, d, "concept")
+    code = F.col("vocabulary_id").isin("ICD9CM", "NS_MSI", "ICD10CM") & (F.col("concept_id") % 2 == 1)
+    return linking.Names(c.withColumn("vocabulary_id", F.when(code, F.col("vocabulary_id")).otherwise("UMLS")), _t(s, d, "concept_synonym"))
+
+
+_CODE = "(c.vocabulary_id in ('ICD10CM', 'ICD9CM', 'NS_MSI') and c.concept_id % 2 = 1)"
+_TGT = f"""tgt as materialized (select c.vocabulary_id, s.concept_id code_id, {_norm('term')} norm, {_key('term')} as key, len(list_intersect({_folded('term')}, ['nos', 'unspecified', 'unspec'])) > 0 unspecified,
+        case term_type when 'preferred' then 1.0 when 'clinical' then 0.9 when 'index' then 0.8 else 0.8 end w from concept_synonym s join concept c using (concept_id) where {_CODE} and c.valid_end is null and term is not null)"""
+_SRC = f"""src as materialized (select distinct s.concept_id cui, c.domain, {_norm('term')} norm, {_key('term')} as key, case term_type when 'lay' then 0.9 else 1.0 end weight from concept_synonym s join concept c using (concept_id)
+        where coalesce(not {_CODE}, true) and c.valid_end is null and term is not null and term_type in ('clinical', 'preferred', 'lay'))"""
+_WANT = "want as (select * from src, (values ('ICD10CM'), ('ICD9CM'), ('NS_MSI')) v(vocabulary_id) where (v.vocabulary_id = 'NS_MSI' and domain in ('procedure', 'other', 'observation')) or (v.vocabulary_id <> 'NS_MSI' and domain in ('condition', 'symptom', 'observation', 'other')) or (v.vocabulary_id = 'ICD9CM' and domain = 'procedure'))"
+_WIX = "wix as materialized (select vocabulary_id, key, code_id, max({'w': w, 'u': unspecified}) b from tgt where key is not null group by 1, 2, 3 qualify count(*) over (partition by vocabulary_id, key) <= 6)"
+
+
+@query(f"with {_TGT}, {_SRC}, {_WANT} select cui, code_id, max(round(1.0 * w * weight, 6)) score from want join tgt on tgt.vocabulary_id = want.vocabulary_id and tgt.norm = want.norm group by 1, 2")
+def q_name_links(s, d):
+    n = _names(s, d)
+    return linking.name_offers(n.wanted(), linking.exact_index(n)).groupBy("cui", "code_id").agg(F.max(F.round("score", 6)).alias("score"))
+
+
+@query(f"with {_TGT}, {_SRC}, {_WANT}, {_WIX} select cui, code_id, max(round(case when b.u then 0.95 else 0.85 end * b.w * weight, 6)) score from want join wix on wix.vocabulary_id = want.vocabulary_id and wix.key = want.key group by 1, 2")
+def q_word_links(s, d):
+    n = _names(s, d)
+    return linking.word_offers(n.wanted(), linking.word_index(n)).groupBy("cui", "code_id").agg(F.max(F.round("score", 6)).alias("score"))
+
+
+@query()
+def q_contained_links(s, d):
+    n = _names(s, d)
+    left = n.wanted().filter(F.size("key") >= 2).groupBy("cui", "vocabulary_id", "ks").agg(F.first("key").alias("key"), F.max("weight").alias("weight"))
+    return linking.contained_offers(left, linking.word_index(n)).groupBy("cui", "code_id").agg(F.max(F.round("score", 6)).alias("score"))
+
+
+@query(f"""with {_TGT}, {_SRC}, {_WANT}, {_WIX}, drp as (select cui, vocabulary_id, weight, list_filter(key, lambda w: w <> x) rest from (select *, unnest(key) x from want where len(key) >= 2))
+    select cui, code_id, max(round(0.55 * b.w * weight, 6)) score from drp join wix on wix.vocabulary_id = drp.vocabulary_id and wix.key = drp.rest
+    where len(rest) > 1 or regexp_matches(rest[1], '{X.DISEASE_WORD}') group by 1, 2""")
+def q_broader_links(s, d):
+    n = _names(s, d)
+    left = n.wanted().filter(F.size("key") >= 2).groupBy("cui", "vocabulary_id", "ks").agg(F.first("key").alias("key"), F.max("weight").alias("weight"))
+    return linking.broader_offers(left, linking.word_index(n)).groupBy("cui", "code_id").agg(F.max(F.round("score", 6)).alias("score"))
+
+
+@query()
+def q_link(s, d):
+    return linking.link(_names(s, d), _t(s, d, "concept_relationship"))
+
+
+@query(f"select distinct a.concept_id_1 src, b.concept_id_2 dst, round({_CONF.replace('confidence', 'a.confidence', 1).replace('relationship_id', 'a.relationship_id')} * {_CONF.replace('confidence', 'b.confidence', 1).replace('relationship_id', 'b.relationship_id')}, 6) score from concept_relationship a join concept_relationship b on b.concept_id_1 = a.concept_id_2 where a.relationship_id = 'has_umls_cui' and b.relationship_id in ('umls_cui_of', 'may_be')")
+def q_two_hops(s, d):
+    e = _t(s, d, "concept_relationship")
+    a = e.filter("relationship_id = 'has_umls_cui'").select(F.col("concept_id_1").alias("src"), F.col("concept_id_2").alias("mid"), lookup.confidence().alias("x")).distinct()
+    b = e.filter(F.col("relationship_id").isin("umls_cui_of", "may_be")).select(F.col("concept_id_1").alias("mid"), F.col("concept_id_2").alias("dst"), lookup.confidence().alias("y")).distinct()
+    return a.join(b, "mid").select("src", "dst", F.round(F.col("x") * F.col("y"), 6).alias("score")).distinct()
+
+
+# -- annotation --------------------------------------------------------------------------
+
+
+def _terms(s, d):
+    c, e = _t(s, d, "concept"), _t(s, d, "concept_relationship")
+    linked = e.filter(F.col("relationship_id").isin(lookup.HOPS)).select(F.col("concept_id_1").alias("concept_id")).unionByName(c.filter("vocabulary_id <> 'UMLS'").select("concept_id"))
+    return annotate.dictionary(c, _t(s, d, "concept_synonym"), linked)
+
+
+@query()
+def q_dictionary(s, d):
+    return _terms(s, d).select("key", "concept_id", "term_type", "score", "keep")
+
+
+@query()
+def q_mentions(s, d):
+    m = annotate.mentions(_t(s, d, "documents").select("doc_id", "text"), _terms(s, d))
+    return m.select("doc_id", "start", "end", "text", F.col("candidates")[0]["concept_id"].alias("concept_id"), F.size("candidates").alias("n_candidates"))
+
+
+@query()
+def q_mentions_in_context(s, d):
+    docs = _t(s, d, "annotate_sentences").select(F.col("item_id").alias("doc_id"), "text").unionByName(_t(s, d, "documents").select((-F.col("doc_id")).alias("doc_id"), "text"))
+    m = annotate.with_context(annotate.mentions(docs, _terms(s, d)), docs)
+    return m.select("doc_id", "start", "end", "text", "assertion", "experiencer", "temporality", F.array_join("cues", "; ").alias("cues"))
+
+
+@query()
+def q_sense_hits(s, d):
+    docs = _t(s, d, "documents").select("doc_id", "text")
+    senses = _t(s, d, "senses")
+    cues = packed.unpack(senses.select(F.lit("senses").alias("tbl"), F.col("sense_id").alias("row_id"), F.lit("cues").alias("field"), F.col("cues").alias("text")))
+    senses = senses.join(cues, F.col("sense_id") == F.col("row_id")).select("term", "target", F.col("item").alias("cue"))
+    keys = senses.filter("term is not null").select(X.normalize(F.col("term")).alias("key"), F.lit(False).alias("abbreviation_only")).distinct()
+    toks = docs.select("doc_id", "text", annotate.tokens("text").alias("toks"))
+    found = annotate.leftmost_longest(annotate.spans(toks.select("doc_id", "toks"), keys)).withColumnRenamed("key", "text")
+    return annotate.sense_hits(found, docs, senses)
+
+
+@query()
+def q_lexicon_sequences(s, d):
+    return lexicon.sequences(_t(s, d, "patterns")).select("pattern_id", "seq_no", F.array_join("seq", " ").alias("seq"))
+
+
+_PARTS = ("knee wrist hip ankle elbow shoulder jaw neck scalp heel toe thumb finger forearm femur tibia fibula radius ulna humerus scapula clavicle sternum patella sacrum coccyx "
+          "kidney liver spleen pancreas stomach colon rectum bladder prostate uterus ovary tongue larynx trachea bronchus pleura diaphragm thyroid tonsil sinus eyelid cornea retina "
+          "eardrum tendon meniscus gallbladder duodenum ileum ureter urethra parotid oesophagus palate").split()
+
+
+@query()
+def q_lexicon_matches(s, d):
+    return lexicon.matches(_t(s, d, "documents").select("doc_id", "text"), _t(s, d, "patterns"), _PARTS)
+
+
+# -- windows and extraction --------------------------------------------------------------
+
+
+@query("""with l as (select user_id, ts, event_id, case when date_diff('microsecond', lag(ts) over w, ts) <= 14400000000 then 0 else 1 end fresh from events window w as (partition by user_id order by ts, event_id))
+    select event_id, user_id, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint line_no from l""")
+def q_line_groups(s, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    fresh = F.when(us - F.lag(us).over(w) <= 14_400_000_000, 0).otherwise(1)
+    e = _t(s, d, "events").select("event_id", "user_id", "ts", fresh.alias("fresh"))
+    return e.select("event_id", "user_id", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias("line_no"))
+
+
+@query("""select record_id, last_value(heading ignore nulls) over w as heading, last_value(section ignore nulls) over w as section from fee_record window w as (partition by feed, payer order by page, x0, record_id rows between unbounded preceding and current row)""")
+def q_carry_forward(s, d):
+    w = Window.partitionBy("feed", "payer").orderBy(F.col("page").asc_nulls_last(), F.col("x0").asc_nulls_last(), "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    return _t(s, d, "fee_record").select("record_id", F.last("heading", True).over(w).alias("heading"), F.last("section", True).over(w).alias("section"))
+
+
+@query("select feed, page, arg_min(section, {'x': coalesce(x0, 1e300), 'r': record_id}) as section, count(*) n_records, count(distinct code) n_codes from fee_record where section is not null group by 1, 2")
+def q_first_on_page(s, d):
+    f = _t(s, d, "fee_record").filter("section is not null")
+    return f.groupBy("feed", "page").agg(F.min_by("section", F.struct(F.coalesce("x0", F.lit(1e300)), "record_id")).alias("section"), F.count(F.lit(1)).alias("n_records"), F.count_distinct("code").alias("n_codes"))
+
+
+@query("""with p as (select distinct code[:3] prefix from concept where vocabulary_id = 'ICD10CM' union select distinct code[:5] from concept where vocabulary_id = 'ICD10CM' and length(code) >= 5)
+    select c.concept_id, max_by(prefix, length(prefix)) prefix from concept c join p on starts_with(c.code, prefix) where c.vocabulary_id = 'ICD10CM' group by 1""")
+def q_longest_prefix(s, d):
+    c = _t(s, d, "concept").filter("vocabulary_id = 'ICD10CM'").select("concept_id", "code")
+    p = c.select(F.substring("code", 1, 3).alias("prefix")).unionByName(c.filter(F.length("code") >= 5).select(F.substring("code", 1, 5).alias("prefix"))).distinct()
+    cut = c.select("concept_id", F.explode(F.array(F.substring("code", 1, 3), F.substring("code", 1, 5))).alias("prefix")).distinct()
+    return cut.join(p, "prefix").groupBy("concept_id").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+
+
+@query("select source, relationship_id, count(*) n, count(confidence) n_confident, round(avg(confidence), 6) mean_confidence, min(map_priority) best_priority from concept_relationship where source not in ('UMLS/ICD9CM', 'UMLS/ICD10CM') group by 1, 2")
+def q_source_counts(s, d):
+    e = _t(s, d, "concept_relationship").filter(~F.col("source").isin("UMLS/ICD9CM", "UMLS/ICD10CM"))
+    return e.groupBy("source", "relationship_id").agg(F.count(F.lit(1)).alias("n"), F.count("confidence").alias("n_confident"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.min("map_priority").alias("best_priority"))
+
+
+@query("""select r.edge_id from concept_relationship r where r.concept_id_2 not in (select concept_id from concept)""")
+def q_missing_targets(s, d):
+    e = _t(s, d, "concept_relationship").filter("concept_id_2 is not null")
+    return e.join(_t(s, d, "concept").select(F.col("concept_id").alias("concept_id_2")), "concept_id_2", "left_anti").select("edge_id")
+
+
+@query("""select concept_id, min(case domain when 'condition' then 1 when 'symptom' then 2 when 'procedure' then 3 when 'drug' then 4 when 'observation' then 5 else 9 end)::int domain_rank,
+    count(distinct t.vocabulary_id) n_vocabularies from concept c join concept_relationship r on r.concept_id_1 = c.concept_id join (select concept_id target, vocabulary_id from concept) t on t.target = r.concept_id_2 group by 1""")
+def q_reach(s, d):
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in {"condition": 1, "symptom": 2, "procedure": 3, "drug": 4, "observation": 5}.items() for x in kv]), F.col("domain")), F.lit(9))
+    c = _t(s, d, "concept")
+    e = _t(s, d, "concept_relationship").select(F.col("concept_id_1").alias("concept_id"), "concept_id_2")
+    t = c.select(F.col("concept_id").alias("concept_id_2"), "vocabulary_id")
+    j = c.select("concept_id", rank.alias("r")).join(e, "concept_id").join(maybe_broadcast(t), "concept_id_2")
+    return j.groupBy("concept_id").agg(F.min("r").cast("int").alias("domain_rank"), F.count_distinct("vocabulary_id").alias("n_vocabularies"))
