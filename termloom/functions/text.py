@@ -61,14 +61,29 @@ def _class(chars) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" if b > a else f"\\x{{{a:x}}}" for a, b in runs) + "]"
 
 
+def listed(words: list[str]) -> Column:
+    """A constant array of strings."""
+    return F.split(F.lit("\x01".join(words)), "\x01")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize(text: Column) -> Column:
     """Lookup key: accents stripped, lower case, apostrophes dropped, other punctuation to single blanks, trimmed.
 
     Plain ASCII takes a short way; the character tables are only met by text that needs them."""
     src, dst, many = _foldings()
-    wide = F.create_map(*[x for k, v in many.items() for x in (F.lit(k), F.lit(v))])
-    spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(wide, c), c)), "")
-    folded = F.when(text.rlike(r"^\p{ASCII}*$"), text).when(text.rlike(_class(many)), F.translate(spread, src, dst)).otherwise(F.translate(text, src, dst))
+    wide = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in many.items())), F.lit("\x01"), F.lit("\x02"))
+    wide_class = _class(many)
+
+    def fold(t: Column) -> Column:
+        spread = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(wide, c), c)), "")
+        return F.when(t.rlike(r"^\p{ASCII}*$"), t).when(t.rlike(wide_class), F.translate(spread, src, dst)).otherwise(F.translate(t, src, dst))
+
+    folded = let(text, fold)
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(folded), "['’]", ""), "[^a-z0-9]+", " "))
 
 
@@ -76,16 +91,20 @@ def token_fold(word: Column) -> Column:
     """One spelling and number of a word."""
     for pattern, to in SPELLINGS:
         word = F.regexp_replace(word, pattern, to)
-    return F.when((F.length(word) > 4) & word.endswith("s") & ~word.rlike("(ss|us|is)$"), word.substr(F.lit(1), F.length(word) - 1)).otherwise(word)
+    return F.regexp_replace(word, "^(.{3,}[^sui])s$", "$1")
 
 
 def word_set(term: Column) -> Column:
     """struct<key: sorted distinct folded words (null if too vague), unspecified: a word for that was dropped>."""
     t = F.regexp_replace(F.regexp_replace(term, r"\([^)]*\)|\[[^\]]*\]", " "), r"(?i)\b(without|except|excluding|other than)\b[^,;]*", " ")
     folded = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(normalize(t), " "), lambda w: w != ""), token_fold)))
-    key = F.array_except(folded, F.array(*map(F.lit, FILLER_WORDS)))
-    vague = (F.size(key) == 0) | ((F.size(key) == 1) & (F.length(key[0]) < 4))
-    return F.struct(F.when(~vague, key).alias("key"), F.arrays_overlap(folded, F.array(*map(F.lit, UNSPECIFIED_WORDS))).alias("unspecified"))
+    fillers, vague_words = listed(FILLER_WORDS), listed(UNSPECIFIED_WORDS)
+
+    def pick(all_words: Column) -> Column:
+        key = let(F.array_except(all_words, fillers), lambda k: F.when(~((F.size(k) == 0) | ((F.size(k) == 1) & (F.length(k[0]) < 4))), k))
+        return F.struct(key.alias("key"), F.arrays_overlap(all_words, vague_words).alias("unspecified"))
+
+    return let(folded, pick)
 
 
 def dotted(code: Column, vocabulary: Column) -> Column:
@@ -117,9 +136,8 @@ def compatible(a: Column, b: Column) -> Column:
 
 def singular(term: Column) -> Column:
     """The last word without a plural ending."""
-    last = F.regexp_extract(term, r"(\S+)$", 1)
-    return F.when((F.length(last) > 4) & last.endswith("ies"), F.regexp_replace(term, "ies$", "y")).when(
-        (F.length(last) > 3) & last.endswith("s") & ~last.rlike("(ss|us|is)$"), F.regexp_replace(term, "s$", "")).otherwise(term)
+    ies = term.rlike(r"(^|\s)\S{2,}ies$")
+    return F.when(ies, F.regexp_replace(term, "ies$", "y")).otherwise(F.regexp_replace(term, r"((?:^|\s)\S{2,}[^sui\s])s$", "$1"))
 
 
 def first_variant(title: Column) -> Column:
@@ -148,6 +166,6 @@ def printed_date(text: Column) -> Column:
     word = F.when(t.rlike(a), F.regexp_extract(t, a, 1)).when(t.rlike(b), F.regexp_extract(t, b, 2))
     day = F.when(t.rlike(a), F.regexp_extract(t, a, 2)).when(t.rlike(b), F.regexp_extract(t, b, 1))
     year = F.regexp_extract(t, r"(\d{4})$", 1)
-    good = F.exists(F.array(*map(F.lit, MONTHS)), lambda m: (m == word) | ((F.length(word) == 3) & m.startswith(word)) | ((word == "sept") & (m == "september")))
+    good = F.exists(listed(MONTHS), lambda m: (m == word) | ((F.length(word) == 3) & m.startswith(word)) | ((word == "sept") & (m == "september")))
     made = F.when(good, F.concat_ws("-", year, F.lpad(F.try_element_at(month, F.substring(word, 1, 3)).cast("string"), 2, "0"), F.lpad(day, 2, "0")))
     return F.try_to_date(F.when(iso.isNotNull(), t).otherwise(made), "yyyy-MM-dd")

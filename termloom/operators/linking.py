@@ -62,7 +62,7 @@ class Names:
 
     def wanted(self) -> DataFrame:
         """The sources once per vocabulary that may hold their kind."""
-        pairs = F.array(*[F.struct(F.lit(v).alias("v"), F.array(*map(F.lit, d)).alias("d")) for v, d in self.targets.items()])
+        pairs = F.array(*[F.struct(F.lit(v).alias("v"), X.listed(d).alias("d")) for v, d in self.targets.items()])
         t = self.sources().withColumn("target", F.explode(pairs)).filter(F.array_contains("target.d", F.col("domain")))
         return t.select("cui", "domain", "norm", "key", F.array_join("key", " ").alias("ks"), "weight", F.col("target.v").alias("vocabulary_id"))
 
@@ -98,7 +98,7 @@ def contained_offers(left: DataFrame, words: DataFrame) -> DataFrame:
     rare = each.groupBy("vocabulary_id", F.col("ks").alias("mine")).agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"), F.min(F.coalesce("n", F.lit(0))).alias("n"), F.first("key").alias("key"))
     hit = rare.filter("n > 0").join(postings, ["vocabulary_id", "word"])
     extra = F.array_except("target", "key")
-    hit = hit.filter((F.size(F.array_except("key", "target")) == 0) & (F.size(extra) <= MAX_EXTRA) & ~F.arrays_overlap(extra, F.array(*map(F.lit, X.CONTEXT_WORDS))))
+    hit = hit.filter((F.size(F.array_except("key", "target")) == 0) & (F.size(extra) <= MAX_EXTRA) & ~F.arrays_overlap(extra, X.listed(X.CONTEXT_WORDS)))
     hit = hit.select("vocabulary_id", "mine", "ks", F.size(extra).alias("extra")).join(words.drop("key"), ["vocabulary_id", "ks"]).drop("ks")
     got = left.withColumnRenamed("ks", "mine").join(hit, ["vocabulary_id", "mine"])
     return got.select("cui", "vocabulary_id", "code_id", (F.lit(CONTAINED) * F.col("w") * F.col("weight") * F.pow(F.lit(0.9), "extra")).alias("score"), F.lit("contained").alias("how"))
@@ -117,7 +117,7 @@ def penalised(pairs: DataFrame, n: Names) -> DataFrame:
     own = n.synonym.filter(~F.col("source").isin("UMLS/ICD9CM", "UMLS/ICD10CM")).select(F.col("concept_id").alias("cui"), F.explode(F.split(X.normalize(F.col("term")), " ")).alias("w")).join(c, "cui", "left_semi")
     own = own.select("cui", X.token_fold(F.col("w")).alias("w")).filter(F.col("w").isin(X.CONTEXT_WORDS)).groupBy("cui").agg(F.collect_set("w").alias("own"))  # at most the context words
     kept = F.regexp_replace("title", r"(?i)\b(without|except|excluding|other than)\b[^,;]*", " ")
-    said = F.array_intersect(F.transform(F.split(X.normalize(kept), " "), X.token_fold), F.array(*map(F.lit, X.CONTEXT_WORDS)))
+    said = F.array_intersect(F.transform(F.split(X.normalize(kept), " "), X.token_fold), X.listed(X.CONTEXT_WORDS))
     codes = n.codes().select("code_id", "code_domain", said.alias("said"), F.col("title").rlike(X.MANIFESTATION).alias("manifests"))
     out = pairs.join(codes, "code_id", "left").join(own, "cui", "left")
     foreign = F.size(F.array_except(F.coalesce("said", F.array().cast("array<string>")), F.coalesce("own", F.array().cast("array<string>")))) > 0
@@ -126,7 +126,7 @@ def penalised(pairs: DataFrame, n: Names) -> DataFrame:
 
 
 def best_offers(offers: DataFrame) -> DataFrame:
-    rank = F.array_position(F.array(*map(F.lit, HOW)), F.col("how"))
+    rank = F.array_position(X.listed(HOW), F.col("how"))
     return offers.groupBy("cui", "code_id").agg(F.max("score").alias("score"), F.max_by("how", F.struct("score", -rank)).alias("how"))
 
 
