@@ -182,12 +182,14 @@ def spans(docs: DataFrame, items: DataFrame, least: int = LEAST, block_words: in
                 if mark is None:
                     continue
                 leaked, drop = sum(mark), sum(mark) > drop_share * len(ws)
-                kept, at = [], 0
+                kept, at, before = [], 0, 0
                 if not drop:
                     for (_, lo, hi), m in zip(words_with_places(text), mark):
                         if m:
-                            kept.append(text[at:lo])
+                            if not before:
+                                kept.append(text[at:lo])
                             at = hi
+                        before = m
                     kept.append(text[at:])
                 out.append((doc, len(ws), leaked, longest, "drop" if drop else "cut", None if drop else "".join(kept)))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "leaked_words", "longest", "action", "cleaned"])
