@@ -142,7 +142,7 @@ def singular(term: Column) -> Column:
 
 def first_variant(title: Column) -> Column:
     """``Attack, attacks`` -> ``Attack``: the first spelling if all others share its first four letters."""
-    parts = F.transform(F.split(title, ","), F.trim)
+    parts = F.transform(F.split(title, ","), lambda p: F.trim(p))
     stem = F.lower(F.substring(parts[0], 1, 4))
     return F.when((F.size(parts) > 1) & F.forall(F.slice(parts, 2, 1000), lambda p: F.lower(p).startswith(stem)), parts[0]).otherwise(title)
 
