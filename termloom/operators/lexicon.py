@@ -1,8 +1,8 @@
 """Lexicon patterns: expansion to word sequences with slots, and matching.
 
 ``[a|b]`` is a choice and nests, ``x?`` and ``[..]?`` are optional, ``<slot>`` takes a body part, determiners or an
-object. Patterns are expanded in an Arrow stage, row by row; matching streams texts past an index of the sequences by
-first word, in blocks of a bounded number of sequences, so any number of patterns can be run.
+object. Patterns are expanded in an Arrow stage, row by row; matching streams texts past a tree of the
+sequences, in blocks of a bounded number of sequences, so any number of patterns can be run.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.operators.annotate import _fold, tokenize
+from termloom.operators.annotate import _fold, scan
+from termloom.session import spread
 
 #: Words that the slots <det> and <obj> take.
 DETERMINERS = ["my", "his", "her", "their", "your", "our", "its", "the", "a", "an", "both", "left", "right", "this", "that", "these", "those", "one", "some", "either"]
@@ -76,29 +77,49 @@ def sequences(patterns: DataFrame) -> DataFrame:
     return patterns.select("pattern_id", F.posexplode(run("pattern")).alias("seq_no", "seq"))
 
 
-def match_at(seq: list[str], words: list[str], brk: list[bool], i: int, parts: set[str]) -> tuple[int, str | None]:
-    """Words that a sequence takes at i (0: none), and the body part in its slot."""
-    j, part = i, None
-
-    def free(k: int) -> bool:
-        return k < len(words) and (k == i or not brk[k])
-
-    for s in seq:
-        if s == "<det>":
-            most = j + MOST_DETERMINERS
-            while j < most and free(j) and words[j] in DETERMINERS:
-                j += 1
-        elif s == "<part>":
-            size = next((n for n in (2, 1) if all(free(k) for k in range(j, j + n)) and " ".join(words[j : j + n]) in parts), 0)
-            if not size:
-                return 0, None
-            part = " ".join(words[j : j + size])
-            j += size
-        else:
-            if not free(j) or not (words[j] in OBJECTS if s == "<obj>" else words[j] == s):
-                return 0, None
-            j += 1
-    return j - i, part
+def tree_of(rows: list[tuple[int, list[str]]]) -> dict:
+    """Sequences as a tree of words and slots; the least pattern id of a sequence stands at its end under None."""
+    root: dict = {}
+    for pid, seq in rows:
+        node = root
+        for s in seq:
+            node = node.setdefault(s, {})
+        node[None] = min(pid, node.get(None, pid))
+    return root
+
+
+def longest_at(root: dict, words: list[str], brk: list[bool], i: int, parts: set[str]) -> tuple[int, int, str | None]:
+    """(words, pattern id, body part) of the longest sequence at i, the least id on ties; 0 words if none.
+
+    A slot takes what it can: up to three determiners, a body part of two words before one of one."""
+    best = (0, 0, None)
+    todo = [(root, i, None)]
+    size = len(words)
+    while todo:
+        node, j, part = todo.pop()
+        pid = node.get(None)
+        if pid is not None and (j - i, -pid) > (best[0], -best[1] if best[0] else 0) and j > i:
+            best = (j - i, pid, part)
+        free = j < size and (j == i or not brk[j])
+        if free:
+            nxt = node.get(words[j])
+            if nxt is not None:
+                todo.append((nxt, j + 1, part))
+            nxt = node.get("<obj>")
+            if nxt is not None and words[j] in OBJECTS:
+                todo.append((nxt, j + 1, part))
+            nxt = node.get("<part>")
+            if nxt is not None:
+                n = 2 if j + 1 < size and not brk[j + 1] and f"{words[j]} {words[j + 1]}" in parts else 1 if words[j] in parts else 0
+                if n:
+                    todo.append((nxt, j + n, " ".join(words[j : j + n])))
+        nxt = node.get("<det>")
+        if nxt is not None:
+            k = j
+            while k < min(size, j + MOST_DETERMINERS) and (k == i or not brk[k]) and words[k] in DETERMINERS:
+                k += 1
+            todo.append((nxt, k, part))
+    return best
 
 
 def _blocks(seqs: DataFrame, size: int) -> Iterator[list[tuple[int, list[str]]]]:
@@ -117,28 +138,23 @@ def matches(docs: DataFrame, patterns: DataFrame, parts: list[str], block: int =
 
     ``parts`` are the body parts the slot takes, a fixed list. A match crosses no punctuation."""
     sc, known = docs.sparkSession.sparkContext, set(parts)
-    docs, out = docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), None
+    docs, out = spread(docs.filter(F.col("text").isNotNull()).select("doc_id", "text")), None
     for rows in _blocks(sequences(patterns), block):
-        index: dict[str, list] = {}
-        for pid, seq in rows:
-            index.setdefault(seq[0] if not seq[0].startswith("<") else "", []).append((pid, seq))
-        shared = sc.broadcast((index, known))  # at most ``block`` sequences
+        shared = sc.broadcast((tree_of(rows), known))  # at most ``block`` sequences
 
         def run(batches, shared=shared):
-            index, known = shared.value
-            anywhere = index.get("", [])
+            root, known = shared.value
+            anywhere = any(k is not None and k.startswith("<") for k in root)
             for pdf in batches:
                 got = []
-                for doc, toks in zip(pdf["doc_id"], map(tokenize, pdf["text"])):
-                    words, brk = [t["w"] for t in toks], [t["brk"] for t in toks]
+                for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                    toks = list(scan(text))
+                    words, brk = [t[2] for t in toks], [t[3] for t in toks]
                     for i, w in enumerate(words):
-                        best = (0, 0, None)
-                        for pid, seq in (*index.get(w, ()), *anywhere):
-                            n, part = match_at(seq, words, brk, i, known)
-                            if n and (n, -pid) > best[:2]:
-                                best = (n, -pid, part)
-                        if best[0]:
-                            got.append((doc, i, best[0], -best[1], best[2]))
+                        if anywhere or w in root:
+                            n, pid, part = longest_at(root, words, brk, i, known)
+                            if n:
+                                got.append((doc, i, n, pid, part))
                 yield pd.DataFrame(got, columns=["doc_id", "i", "n", "pattern_id", "part"])
 
         one = docs.mapInPandas(run, "doc_id bigint, i int, n int, pattern_id bigint, part string")

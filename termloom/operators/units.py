@@ -47,26 +47,22 @@ def measured(fees: DataFrame, records: DataFrame, feeds: DataFrame) -> DataFrame
 
     Values that are null, a percentage or without a number give no row. The tables may be empty; a feed without a row
     in ``feeds`` declares nothing. ``feeds`` is read as given and joined (a few rows per feed, size-checked)."""
-    parts = []
-    for q in ("units", "amount"):
-        parts.append(fees.select(F.lit("ns_msi_sample").alias("tbl"), F.col("fee_row_id").alias("row_id"), F.lit(q).alias("field"), "feed", "code",
-                                 F.col("effective_start").alias("at"), F.col(q).alias("value"), F.col("description").alias("text")))
-    for q in UNITS:
-        parts.append(records.select(F.lit("fee_record").alias("tbl"), F.col("record_id").alias("row_id"), F.lit(q).alias("field"), "feed", "code",
-                                    F.lit(None).cast("date").alias("at"), F.try_element_at("fee_values", F.lit(q)).alias("value"), F.concat_ws(" ", "description").alias("text")))
+    def part(tbl: str, rows: DataFrame, key: str, q: str, at, value, text) -> DataFrame:
+        rows = rows.select(F.lit(tbl).alias("tbl"), F.col(key).alias("row_id"), F.lit(q).alias("field"), "feed", "code", at.alias("at"), value.alias("value"), text.alias("text")).filter(F.col("value").isNotNull())
+        clock = Q.is_clock(F.col("value")) if q == "duration" else F.lit(False)
+        said = F.coalesce(Q.unit_in_value(F.col("value"), q), Q.unit_in_text(F.col("text"), q))
+        return rows.select("tbl", "row_id", "field", "feed", "code", "at", Q.number(F.col("value")).alias("number"), clock.alias("clock"), said.alias("said"))
+
+    none = F.lit(None).cast("date")
+    parts = [part("ns_msi_sample", fees, "fee_row_id", q, F.col("effective_start"), F.col(q), F.col("description")) for q in ("units", "amount")]
+    parts += [part("fee_record", records, "record_id", q, none, F.try_element_at("fee_values", F.lit(q)), F.concat_ws(" ", "description")) for q in UNITS]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    said = heard = by_feed = None
-    for q in UNITS:
-        is_q = F.col("field") == q
-        a, b, c = Q.unit_in_value(F.col("value"), q), Q.unit_in_text(F.col("text"), q), F.col(f"{q}_unit" if q == "units" else f"{q}_unit")
-        said, heard, by_feed = ((F.when(is_q, x) if y is None else y.when(is_q, x)) for x, y in ((a, said), (b, heard), (c, by_feed)))
     one_feed = feeds.groupBy(F.col("feed").alias("feed_")).agg(*[F.min(c).alias(c) for c in ("units_unit", "amount_unit", "duration_unit")])
-    rows = rows.filter(F.col("value").isNotNull()).withColumn("number", Q.number(F.col("value"))).filter(F.col("number").isNotNull())
-    rows = rows.join(one_feed, F.col("feed") == F.col("feed_"), "left")
-    rows = rows.withColumn("clock", (F.col("field") == "duration") & Q.is_clock(F.col("value")))
-    declared = F.when(F.col("clock"), F.lit("minute")).otherwise(F.coalesce(said, heard, by_feed))
+    rows = rows.filter(F.col("number").isNotNull()).join(one_feed, F.col("feed") == F.col("feed_"), "left")
+    by_feed = F.when(F.col("field") == "units", F.col("units_unit")).when(F.col("field") == "amount", F.col("amount_unit")).otherwise(F.col("duration_unit"))
+    declared = F.when(F.col("clock"), F.lit("minute")).otherwise(F.coalesce("said", by_feed))
     return rows.select("tbl", "row_id", "field", "feed", "code", "at", "number", "clock", declared.alias("declared"))
 
 
