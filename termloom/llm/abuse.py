@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.abuse_seed import sentences as seed_sentences
+from termloom.session import spread
 
 BUCKETS = 1 << 17
 FACTORS = 8
@@ -200,7 +201,7 @@ def term_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(c)
         yield pd.DataFrame({"term": np.append(at, -1), "n": np.append(c[at], n)})
 
-    rows = docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(count, "term bigint, n bigint")
+    rows = spread(docs.filter(F.col("text").isNotNull()).select("text")).mapInPandas(count, "term bigint, n bigint")
     got = rows.groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows
     out, n = np.zeros(BUCKETS, dtype="int64"), 0
     inner = got[got["term"] >= 0]
@@ -230,7 +231,7 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
                 best = [max((p[uniq[s]] for s in ss), default=0.0) for ss in chunk]
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo : lo + 500], "source": pdf["source"].iloc[lo : lo + 500], "score": np.round(np.array(best, dtype=float), 6)})
 
-    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, score double")
+    return spread(docs.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, score double")
 
 
 def rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

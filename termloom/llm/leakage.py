@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.fold import words, words_with_places
+from termloom.session import spread
 
 LEAST = 8
 BLOCK_WORDS = 400_000
@@ -135,7 +136,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, block_words: in
     give an empty result."""
     sc = docs.sparkSession.sparkContext
     items = items.filter(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id")
-    docs = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    docs = spread(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"))
     out = None
     for block in _blocks(items, block_words):
         shared = sc.broadcast(Automaton(block, least).parts())  # at most block_words words
@@ -194,5 +195,5 @@ def spans(docs: DataFrame, items: DataFrame, least: int = LEAST, block_words: in
                 out.append((doc, len(ws), leaked, longest, "drop" if drop else "cut", None if drop else "".join(kept)))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "leaked_words", "longest", "action", "cleaned"])
 
-    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(
+    return spread(docs.filter(F.col("text").isNotNull()).select("doc_id", "text")).mapInPandas(
         clean, "doc_id bigint, n_words int, leaked_words int, longest int, action string, cleaned string")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.session import cut
+from termloom.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCKS = 4096      # of a source, at most: what the driver holds
@@ -79,7 +79,7 @@ def mixture(docs: DataFrame, targets: DataFrame, shards: int | None = None, seed
     goals = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.select("source", "target_share", "max_repeats").collect()}  # a row per source
     goals = {k: v for k, v in goals.items() if k is not None}
     use = {k: v for k, v in goals.items() if v[0] > 0 and v[1] >= 1}
-    d = with_tokens(docs.filter(F.col("source").isin(list(use)) & F.col("text").isNotNull()).select("doc_id", "source", "text"), path)
+    d = with_tokens(spread(docs.filter(F.col("source").isin(list(use)) & F.col("text").isNotNull()).select("doc_id", "source", "text")), path)
     d = cut(d.drop("text").filter("n_tokens > 0"))
     sizes = {r["source"]: (r["n"], r["t"]) for r in d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()}
     names = sorted(use)
