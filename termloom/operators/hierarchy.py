@@ -4,7 +4,7 @@ Every node keeps a pointer and the path walked so far. Nodes whose hash falls on
 of others, so a walk is short whatever the depth of the tree: pointers double until they rest on a splitter. The
 splitters with their pointers are a reduced graph, solved in the same way down to the roots; paths are then expanded
 by one join. What never rests on a splitter runs into a cycle without splitters, what never reaches a root runs into
-one with splitters; among these, the nodes that are hit after at least as many steps as there are nodes lie on it.
+one with splitters; of these, the nodes still hit after many steps lie on it.
 """
 
 from __future__ import annotations
@@ -69,13 +69,19 @@ def resolve(links: DataFrame, every: int = EVERY) -> DataFrame:
 
 
 def _kinds(bad: DataFrame, state: DataFrame) -> DataFrame:
-    n = bad.count()
+    """cycle or below for nodes that reach no root. The nodes hit after 2**k steps only get fewer; once their number
+    stays, steps permute them, so all of them lie on cycles, and no node of a cycle is ever missing."""
     hop = cut(bad.join(state.select("node", "cur"), "node"))
-    steps = 1
-    while n and steps < n:
+    ends = hop.select("cur").distinct()
+    left = ends.count()
+    while left:
         hop = cut(hop.join(hop.select(F.col("node").alias("cur"), F.col("cur").alias("cur2")), "cur").select("node", F.col("cur2").alias("cur")))
-        steps *= 2
-    on = hop.select(F.col("cur").alias("node")).distinct().withColumn("on", F.lit(True))
+        ends = hop.select("cur").distinct()
+        now = ends.count()
+        if now == left:
+            break
+        left = now
+    on = ends.select(F.col("cur").alias("node"), F.lit(True).alias("on"))
     return bad.join(on, "node", "left").select("node", F.when(F.col("on"), F.lit("cycle")).otherwise(F.lit("below")).alias("kind"))
 
 
