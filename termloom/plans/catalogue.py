@@ -392,6 +392,15 @@ def q_mentions_in_context(s, d):
     return m.select("doc_id", "start", "end", "text", "assertion", "experiencer", "temporality", F.array_join("cues", "; ").alias("cues"))
 
 
+@query()
+def q_settled_mentions(s, d):
+    docs = _t(s, d, "documents").select("doc_id", "text")
+    c = _t(s, d, "concept")
+    best = lookup.concept_codes(c, _t(s, d, "concept_relationship"), ["ICD10CM"], 1).select("concept_id", F.col("code").alias("best"))
+    kinds = c.join(best, "concept_id", "left").select("concept_id", annotate.chapter(F.col("best"), F.col("domain")).alias("chapter"), F.array_join(X.word_set(F.col("name"))["key"], " ").alias("word_key"))
+    return annotate.vote(annotate.mentions(docs, _terms(s, d)), kinds)
+
+
 @query()
 def q_sense_hits(s, d):
     docs = _t(s, d, "documents").select("doc_id", "text")
@@ -400,7 +409,7 @@ def q_sense_hits(s, d):
     senses = senses.join(cues, F.col("sense_id") == F.col("row_id")).select("term", "target", F.col("item").alias("cue"))
     keys = senses.filter("term is not null").select(X.normalize(F.col("term")).alias("key"), F.lit(False).alias("abbreviation_only")).distinct()
     toks = docs.select("doc_id", "text", annotate.tokens("text").alias("toks"))
-    found = annotate.leftmost_longest(annotate.spans(toks.select("doc_id", "toks"), keys)).withColumnRenamed("key", "text")
+    found = annotate.leftmost_longest(annotate.spans(toks.select("doc_id", "toks"), keys)).drop("lit").withColumnRenamed("key", "text")
     return annotate.sense_hits(found, docs, senses)
 
 

@@ -99,6 +99,30 @@ def test_leftmost_longest(spark):
     assert {tuple(r) for r in got.collect()} == {(1, 0, 2, "a"), (1, 2, 1, "c"), (1, 3, 3, "d"), (2, 9, 1, "f")}
 
 
+def test_conjunctions(spark, terms):
+    docs = spark.createDataFrame([(1, "fever and heart attack"), (2, "wrist fracture and cystitis")], "doc_id bigint, text string")
+    both = terms.unionByName(terms.filter("key = 'fever'").limit(1).withColumn("key", F.lit("fever and heart attack")))
+    assert {(r["doc_id"], r["text"]) for r in A.mentions(docs, both).collect()} == {(1, "fever"), (1, "heart attack"), (2, "cystitis")}
+
+
+def test_vote(spark):
+    cand = "array<struct<r:int,concept_id:bigint,score:double,term:string,term_type:string>>"
+    c = lambda *xs: [(k + 1, i, sc, "t", "lay") for k, (i, sc) in enumerate(xs)]
+    rows = [(1, 0, c((1, 1.0), (2, 0.95))), (1, 3, c((3, 1.0))), (1, 5, c((2, 0.9), (9, 0.1))), (2, 0, c((1, 1.0), (2, 0.95))), (3, 0, c((1, 1.0), (2, 0.8)))]
+    kinds = [(1, "9", "a"), (2, "10", "b"), (3, "10", "c")]
+    got = A.vote(spark.createDataFrame(rows, f"doc_id bigint, i int, candidates {cand}"), spark.createDataFrame(kinds, "concept_id bigint, chapter string, word_key string"))
+    assert {tuple(r) for r in got.collect()} == {(1, 0, 2, False), (1, 3, 3, False), (1, 5, 2, False), (2, 0, 1, True), (3, 0, 1, False)}
+    codes = spark.createDataFrame([("D12", "x"), ("D70", "x"), ("H10", "x"), ("H61.2", "x"), ("I21.9", "x"), (None, "procedure"), (None, "x")], "c string, d string")
+    assert [r[0] for r in codes.select(A.chapter(F.col("c"), F.col("d"))).collect()] == ["2", "3", "7", "8", "9", "procedure", None]
+
+
+def test_context_codes(spark):
+    found = [(1, 0, None, "family", "history", "breast cancer"), (1, 2, "negated", "family", None, "breast cancer"), (1, 4, None, None, "history", "asthma"), (1, 6, None, None, None, "asthma"), (1, 8, None, None, "history", "x y z")]
+    titles = [("family", "breast cancer", "Z80.3"), ("family", "cancer", "Z80"), ("history", "asthma bronchial", "Z87"), ("history", "x", "Q")]
+    got = A.context_codes(spark.createDataFrame(found, "doc_id bigint, i int, assertion string, experiencer string, temporality string, word_key string"), spark.createDataFrame(titles, "kind string, word_key string, code string"))
+    assert {tuple(r) for r in got.collect()} == {(1, 0, "Z80.3", 0), (1, 4, "Z87", 1)}
+
+
 def test_senses(spark):
     docs = spark.createDataFrame([(1, "pt with MS and leg weakness, night sweats"), (2, "MS heart"), (3, "MS")], "doc_id bigint, text string")
     found = spark.createDataFrame([(1, 2, 1, "MS"), (2, 0, 1, "MS"), (3, 0, 1, "MS")], "doc_id bigint, i int, n int, text string")
