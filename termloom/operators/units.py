@@ -34,6 +34,7 @@ UNITS = {
 STATES = 4
 CAP, PENALTY = 9.0, 4.0
 TRUST = CAP + 2 * PENALTY + 1
+ROWS_AT_ONCE = 60_000  # of a partition, which a Python worker holds whole
 HISTORY = ["tbl", "field", "feed", "code"]
 
 
@@ -184,7 +185,7 @@ def segment_units(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     Nulls in feed or code make histories of their own; ties in time are ordered by row_id; a value of zero has no
     level and costs nothing in any unit. An empty input gives an empty result."""
     spark = rows.sparkSession
-    n = partitions or width(spark)
+    n = partitions or max(width(spark), 1 + rows.count() // ROWS_AT_ONCE)
     ix = F.lit(-1)
     for us in UNITS.values():
         for i, (u, _) in enumerate(us):
