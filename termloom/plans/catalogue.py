@@ -308,13 +308,19 @@ def q_derived_mappings(s, d):
 
 
 def _names(s, d) -> linking.Names:
-    """Concepts with an even id, and all outside of the code vocabularies, against the codes with an odd one: in the test
-    tables no vocabulary has names in common with another, halves of one do."""
+    """All concepts outside of the code vocabularies, LAY among them, against all codes."""
     c = _t(s, d, "concept")
-    code = F.col("vocabulary_id").isin("ICD9CM", "NS_MSI", "ICD10CM") & (F.col("concept_id") % 2 == 1)
+    code = F.col("vocabulary_id").isin("ICD9CM", "NS_MSI", "ICD10CM")
     return linking.Names(c.withColumn("vocabulary_id", F.when(code, F.col("vocabulary_id")).otherwise("UMLS")), _t(s, d, "concept_synonym"))
 
 
+def _odd_names(s, d) -> linking.Names:
+    """As the SQL of the single rules has it: only codes with an odd id are targets, the others are sources."""
+    n = _names(s, d)
+    code = F.col("vocabulary_id").isin("ICD9CM", "NS_MSI", "ICD10CM") & (F.col("concept_id") % 2 == 1)
+    return linking.Names(n.concept.withColumn("vocabulary_id", F.when(code, F.col("vocabulary_id")).otherwise("UMLS")), n.synonym)
+
+
 _CODE = "(c.vocabulary_id in ('ICD10CM', 'ICD9CM', 'NS_MSI') and c.concept_id % 2 = 1)"
 _TGT = f"""tgt as materialized (select c.vocabulary_id, s.concept_id code_id, {_norm('term')} norm, {_key('term')} as key, len(list_intersect({_folded('term')}, ['nos', 'unspecified', 'unspec'])) > 0 unspecified,
         case term_type when 'preferred' then 1.0 when 'clinical' then 0.9 when 'index' then 0.8 else 0.8 end w from concept_synonym s join concept c using (concept_id) where {_CODE} and c.valid_end is null and term is not null)"""
@@ -326,13 +332,13 @@ _WIX = "wix as materialized (select vocabulary_id, key, code_id, max({'w': w, 'u
 
 @query(f"with {_TGT}, {_SRC}, {_WANT} select cui, code_id, max(round(1.0 * w * weight, 6)) score from want join tgt on tgt.vocabulary_id = want.vocabulary_id and tgt.norm = want.norm group by 1, 2")
 def q_name_links(s, d):
-    n = _names(s, d)
+    n = _odd_names(s, d)
     return linking.name_offers(n.wanted(), linking.exact_index(n)).groupBy("cui", "code_id").agg(F.max(F.round("score", 6)).alias("score"))
 
 
 @query(f"with {_TGT}, {_SRC}, {_WANT}, {_WIX} select cui, code_id, max(round(case when b.u then 0.95 else 0.85 end * b.w * weight, 6)) score from want join wix on wix.vocabulary_id = want.vocabulary_id and wix.key = want.key group by 1, 2")
 def q_word_links(s, d):
-    n = _names(s, d)
+    n = _odd_names(s, d)
     return linking.word_offers(n.wanted(), linking.word_index(n)).groupBy("cui", "code_id").agg(F.max(F.round("score", 6)).alias("score"))
 
 
@@ -347,7 +353,7 @@ def q_contained_links(s, d):
     select cui, code_id, max(round(0.55 * b.w * weight, 6)) score from drp join wix on wix.vocabulary_id = drp.vocabulary_id and wix.key = drp.rest
     where len(rest) > 1 or regexp_matches(rest[1], '{X.DISEASE_WORD}') group by 1, 2""")
 def q_broader_links(s, d):
-    n = _names(s, d)
+    n = _odd_names(s, d)
     left = n.wanted().filter(F.size("key") >= 2).groupBy("cui", "vocabulary_id", "ks").agg(F.first("key").alias("key"), F.max("weight").alias("weight"))
     return linking.broader_offers(left, linking.word_index(n)).groupBy("cui", "code_id").agg(F.max(F.round("score", 6)).alias("score"))
 
