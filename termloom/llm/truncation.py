@@ -7,6 +7,9 @@ values give their word pairs; the tails are joined to them in two ways:
 * the last two words go on in other values, always without a break (``with fever`` / ``with fever and``): a phrase
   that may end is followed by punctuation or by nothing at least now and then.
 
+Two rules need no count of the tail: a word that goes on after many other words and hardly ever breaks or ends (``and``,
+``by``) leaves any value open, and a value is cut if one longer copy of the whole of it goes on inside its last word.
+
 Pairs and their prefixes are counted with map-side combination before they move, so a value that makes up a third of
 the rows is one row after the first aggregation. The verdict belongs to a tail, not to a row; rows get it by a join.
 """
@@ -23,6 +26,8 @@ LEAST = 3        # longer copies that a tail must have
 OPEN_SHARE = 0.02  # share of breaks after a phrase below which it is open
 END_SHARE = 0.35   # ends against continuations of an open phrase, at most
 SURE = 20  # breaks that a word's usual share would have given after a phrase that has none
+WORD_LEAST, WORD_AFTER = 100, 20  # continuations of a word that settles a tail alone, and the words it follows in them
+WORD_BREAK, WORD_END = 0.001, 0.05  # its breaks and ends against its continuations, at most
 WORD_RATIO = 8   # longer words against uses of the same letters as a word
 
 
@@ -49,16 +54,20 @@ def _pairs(values: DataFrame) -> DataFrame:
                         (F.col("last") & F.col("marked")).alias("marked")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def tails(copies: DataFrame) -> DataFrame:
-    """prev, word, cut: for every tail of a value whether it was cut there (without a mark, and with one)."""
+def _values(copies: DataFrame) -> DataFrame:
+    """tbl, fold, stem, marked: the distinct values of each table."""
     values = copies.filter(F.col("text").isNotNull()).select("tbl", F.col("text").alias("text")).distinct()
     values = values.select("tbl", stem(F.col("text")).alias("stem"), F.col("text").rlike(MARKS).alias("marked")).withColumn("fold", F.lower("stem"))
-    values = values.groupBy("tbl", "fold").agg(F.max("stem").alias("stem"), F.min("marked").alias("marked"))
+    return values.groupBy("tbl", "fold").agg(F.max("stem").alias("stem"), F.min("marked").alias("marked"))
+
+
+def tails(values: DataFrame) -> DataFrame:
+    """prev, word, cut: for every tail of a value whether it was cut there (without a mark, and with one)."""
     pairs = _pairs(values).withColumn("n", F.when(F.col("marked"), 0).otherwise(F.col("n")))
     stats = pairs.groupBy("prev", "word").agg(*[F.sum(F.when(F.col("how") == h, F.col("n")).otherwise(0)).alias(h) for h in ("go", "break", "end")],
                                               F.max(F.col("how") == "end").alias("is_tail"))
     longer = _longer(stats.select("prev", "word", (F.col("go") + F.col("break") + F.col("end")).alias("uses")), ["prev"], "longer_uses")
-    alone = stats.groupBy("word").agg(*[F.sum(c).alias(f"w_{c}") for c in ("go", "break", "end")])
+    alone = stats.groupBy("word").agg(*[F.sum(c).alias(f"w_{c}") for c in ("go", "break", "end")], F.count(F.when(F.col("go") > 0, 1)).alias("w_after"))
     anywhere = _longer(alone.select("word", (F.col("w_go") + F.col("w_break") + F.col("w_end")).alias("uses")), [], "any_longer")
     t = stats.filter("is_tail").join(longer, ["prev", "word"], "left").join(alone, "word", "left").join(anywhere, "word", "left").fillna(0)
     go, brk, end = F.col("go"), F.col("break"), F.col("end")
@@ -69,6 +78,8 @@ def tails(copies: DataFrame) -> DataFrame:
     ends = (w_brk + w_end) / (w_go + w_brk + w_end)
     never = (w_brk <= OPEN_SHARE * w_go) | (go * ends >= SURE)
     open_ = (go >= LEAST) & (brk <= OPEN_SHARE * go) & (end <= END_SHARE * go) & never
+    alone_open = (w_go >= WORD_LEAST) & (F.col("w_after") >= WORD_AFTER) & (w_brk <= WORD_BREAK * w_go) & (w_end <= WORD_END * w_go) & (brk == 0)
+    open_ = open_ | alone_open
     return t.select("prev", "word", (mid | open_).alias("cut"), (mid | open_ | (long_ >= 1) | (any_ > w_go + w_brk)).alias("cut_if_marked"))
 
 
@@ -78,22 +89,43 @@ def _longer(words: DataFrame, by: list[str], name: str) -> DataFrame:
     return cut.groupBy(*by, F.expr("substring(word, 1, k)").alias("word")).agg(F.sum("uses").alias(name))
 
 
+def _head(words: Column, n: Column) -> Column:
+    """What stands before the word after the first ``n``, as a digest."""
+    return F.md5(F.concat_ws("", F.transform(F.slice(words, F.lit(1), n), lambda x: F.concat(x["w"], x["sep"]))))
+
+
+def inside(values: DataFrame) -> DataFrame:
+    """head, word: whole values of which a longer copy goes on inside the last word, unless that is a word used within
+    other values or the copy has its plural."""
+    ws = values.filter(~F.col("marked")).select(_words(F.col("stem")).alias("ws")).filter(F.size("ws") > 0)
+    each = ws.select(F.explode(F.transform("ws", lambda x, i: F.struct(_head(F.col("ws"), i).alias("head"), x["w"].alias("word"), (i == F.size("ws") - 1).alias("last")))).alias("p")).select("p.*")
+    each = each.groupBy("head", "word").agg(F.max("last").alias("last"), F.max(~F.col("last")).alias("within"))
+    within = each.filter("within").select("word").distinct()
+    ends = each.filter("last").select("head", "word").join(within, "word", "left_anti")
+    longer = each.filter(F.length("word") > 1).join(ends.select("head").distinct(), "head", "left_semi").select("head", F.col("word").alias("long"))
+    longer = longer.withColumn("k", F.explode(F.sequence(F.lit(1), F.length("long") - 1))).select("head", F.expr("substring(long, 1, k)").alias("word"), F.expr("substring(long, k + 1)").alias("rest"))
+    longer = longer.filter(F.col("rest").rlike(r"^[\p{L}\p{N}]") & ~F.col("rest").isin("s", "es"))
+    return ends.join(longer.select("head", "word").distinct(), ["head", "word"], "left_semi").withColumn("inside", F.lit(True))
+
+
 def found(rows: DataFrame, copies: DataFrame) -> DataFrame:
     """Rows (tbl, row_id, source, text) whose text was cut; copies (tbl, text) may hold further whole copies.
 
     Null, empty and wordless texts are no case. A text that ends in a bracket, a full stop or another closing mark is
     complete, as is a single word in capitals (an abbreviation). Repeated rows are judged alike. Empty inputs give an
     empty result."""
-    verdict = tails(rows.select("tbl", "text").unionByName(copies.select("tbl", "text")))
+    values = _values(rows.select("tbl", "text").unionByName(copies.select("tbl", "text")))
+    verdict = tails(values)
     rows = rows.filter(F.col("text").isNotNull()).withColumn("stem", stem(F.col("text"))).withColumn("marked", F.col("text").rlike(MARKS))
     rows = rows.withColumn("ws", _words(F.col("stem"))).filter(F.size("ws") > 0)
     rows = rows.withColumn("prev", F.when(F.size("ws") > 1, F.element_at("ws", F.greatest(F.size("ws") - 1, F.lit(1)))["w"]).otherwise(F.lit("^")))
-    rows = rows.withColumn("word", F.element_at("ws", -1)["w"]).withColumn("tail", F.element_at("ws", -1)["sep"])
+    rows = rows.withColumn("word", F.element_at("ws", -1)["w"]).withColumn("tail", F.element_at("ws", -1)["sep"]).withColumn("head", _head(F.col("ws"), F.size("ws") - 1))
     unclosed = F.col("stem").rlike(r"[(\[][^)\]]*$|[,;(\[]\s*$|\s[-–]$")
     closed = F.col("tail").rlike(r"[)\].\"!?]")
     abbreviation = (F.size("ws") == 1) & F.col("stem").rlike(r"^[^\p{Ll}\s]{1,10}$") & ~F.col("marked")
-    out = rows.join(verdict, ["prev", "word"], "left").withColumn("hit", F.when(F.col("marked"), F.col("cut_if_marked")).otherwise(F.col("cut")))
-    return out.filter(~closed & ~abbreviation & (F.coalesce("hit", F.lit(False)) | unclosed)).select("tbl", "row_id", "source")
+    out = rows.join(verdict, ["prev", "word"], "left").join(inside(values), ["head", "word"], "left")
+    out = out.withColumn("hit", F.coalesce("inside", F.lit(False)) | F.coalesce(F.when(F.col("marked"), F.col("cut_if_marked")).otherwise(F.col("cut")), F.lit(False)))
+    return out.filter(~closed & ~abbreviation & (F.col("hit") | unclosed)).select("tbl", "row_id", "source")
 
 
 def rates(found_rows: DataFrame, rows: DataFrame) -> DataFrame:
