@@ -242,10 +242,17 @@ def unit_changes(segmented: DataFrame) -> DataFrame:
 
 
 def with_common_units(fees: DataFrame, feeds: DataFrame) -> DataFrame:
-    """fee_row_id and the units of each fee in hundredths of the common unit, from its declaration alone."""
+    """fee_row_id and the units of each fee in hundredths of the common unit, in the unit that ``segment_units`` gives.
+
+    A declaration outweighs any level there, so only histories with a value that declares no known unit are segmented."""
     empty = fees.sparkSession.createDataFrame([], "record_id bigint, feed string, code string, fee_values map<string,string>, description array<string>")
-    rows = common(measured(fees, empty, feeds).filter(F.col("field") == "units"), "declared")
-    return rows.select(F.col("row_id").alias("fee_row_id"), F.col("common_value").alias("units_common")).filter(F.col("units_common").isNotNull())
+    rows = measured(fees, empty, feeds).filter(F.col("field") == "units").withColumn("h_", F.to_json(F.struct(*HISTORY)))
+    undeclared = rows.filter(factor_of(F.col("field"), F.col("declared")).isNull()).select("h_").distinct()
+    told = rows.join(undeclared, "h_", "left_anti").withColumn("unit", F.col("declared"))
+    levelled = segment_units(rows.join(undeclared, "h_", "left_semi").drop("h_")).withColumn("unit", F.coalesce("unit", "declared"))
+    cols = ["row_id", "field", "number", "unit"]
+    out = common(told.select(*cols).unionByName(levelled.select(*cols)))
+    return out.select(F.col("row_id").alias("fee_row_id"), F.col("common_value").alias("units_common")).filter(F.col("units_common").isNotNull())
 
 
 __all__ = ["Window", "common", "measured", "recorded_otherwise", "segment_units", "unit_changes", "with_common_units"]
