@@ -10,7 +10,10 @@ unit their level matches.
 
 A history may be of any length. Rows are range-partitioned by history and time; a history that spans partitions is
 solved from one small transition matrix per partition, in (min, +) algebra, so the result does not depend on the
-partitioning and no history has to fit in one task.
+partitioning and no history has to fit in one task. What a partition must know of the others comes from two streams over
+these matrices, forward and backward; it is shipped with the tasks while it is small and joined by partition beyond that.
+
+A value without a declaration whose code has no declared value anywhere has no level to go by: its unit stays null.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import quantity as Q
-from termloom.session import cut, width
+from termloom.session import cut, maybe_broadcast, small_enough, width
 
 #: Units and their factors to the common unit of the quantity; the first is the common unit.
 UNITS = {
@@ -35,6 +38,7 @@ STATES = 4
 CAP, PENALTY = 9.0, 4.0
 TRUST = CAP + 2 * PENALTY + 1
 ROWS_AT_ONCE = 60_000  # of a partition, which a Python worker holds whole
+MOST_SHIPPED = 20_000  # partitions' edges that are shipped with the tasks; more are joined
 HISTORY = ["tbl", "field", "feed", "code"]
 
 
@@ -91,40 +95,40 @@ def _costs(pdf: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _step(v: list[float], c: list[float]) -> list[float]:
-    best = min(v) + PENALTY
-    return [min(x, best) + k for x, k in zip(v, c)]
-
-
-def _solve(costs: np.ndarray, enter: list[float] | None, leave: list[float] | None) -> list[int]:
-    """Units of one history's rows in one partition, given the cost of arriving and of going on in each unit."""
-    cs = costs.tolist()
-    k = range(STATES)
-    v = cs[0] if enter is None else _step(enter, cs[0])
-    back: list[list[int]] = []
-    for c in cs[1:]:
-        j = min(k, key=v.__getitem__)
-        best = v[j] + PENALTY
-        back.append([u if v[u] <= best else j for u in k])
-        v = [min(x, best) + y for x, y in zip(v, c)]
-    end = v if leave is None else [a + b for a, b in zip(v, leave)]
-    u = min(k, key=end.__getitem__)
-    out = [u]
-    for b in reversed(back):
-        u = b[u]
-        out.append(u)
-    return out[::-1]
+def _solve(costs: np.ndarray, lo: np.ndarray, hi: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """Units of all histories of a partition, rows lo to hi each, given the cost of arriving and of going on in each unit.
+
+    The recursion goes over positions, with all histories that reach a position in one array; only histories longer
+    than the rest run on alone."""
+    n = hi - lo
+    by = np.argsort(-n, kind="stable")
+    lo, n, back = lo[by], n[by], np.zeros((len(costs), STATES), dtype="int8")
+    v = enter[by].copy()
+    end = np.empty(len(by), dtype=int)
+    for step in range(int(n[0])):
+        k = int(np.searchsorted(-n, -step, side="left"))  # histories with a row at this position
+        at = lo[:k] + step
+        j = v[:k].argmin(axis=1)
+        best = v[np.arange(k), j] + PENALTY
+        stay = v[:k] <= best[:, None]
+        back[at] = np.where(stay, np.arange(STATES), j[:, None])
+        v[:k] = np.where(stay, v[:k], best[:, None]) + costs[at]
+    end[:] = (v + leave[by]).argmin(axis=1)
+    out = np.empty(len(costs), dtype=int)
+    for step in range(int(n[0]) - 1, -1, -1):
+        k = int(np.searchsorted(-n, -step, side="left"))
+        at = lo[:k] + step
+        out[at] = end[:k]
+        end[:k] = back[at, end[:k]]
+    return out
 
 
 def _matrix(costs: np.ndarray) -> list[float]:
     """Cheapest way through the rows from each unit of the row before to each unit of the last row."""
-    m = []
-    for a in range(STATES):
-        v = [0.0 if u == a else math.inf for u in range(STATES)]
-        for c in costs.tolist():
-            v = _step(v, c)
-        m += v
-    return m
+    v = np.where(np.eye(STATES, dtype=bool), 0.0, np.inf)
+    for c in costs:
+        v = np.minimum(v, v.min(axis=1, keepdims=True) + PENALTY) + c
+    return v.ravel().tolist()
 
 
 def _runs(pdf: pd.DataFrame) -> list[tuple[int, int]]:
@@ -139,91 +143,106 @@ def _whole(batches) -> pd.DataFrame:
 
 
 def _edges(batches):
+    """The matrices of the outermost histories of a partition, which may go on in others."""
     pdf = _whole(batches)
     if pdf.empty:
         return
     costs, runs = _costs(pdf), _runs(pdf)
     for k in sorted({0, len(runs) - 1}):
         lo, hi = runs[k]
-        yield pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "nth": [k], "history": [pdf["history"].iloc[lo]], "first": [k == 0],
-                            "last": [k == len(runs) - 1], "m": [_matrix(costs[lo:hi])], "c0": [costs[lo].tolist()]})
-
-
-def _boundaries(edges: list) -> dict[tuple[int, int], tuple[list | None, list | None]]:
-    """From the outermost histories of each partition: what it costs to enter them from before and to go on after."""
-    edges = sorted(edges, key=lambda e: (e["part"], e["nth"]))
-    chains: list[list] = []
-    for e in edges:
-        p = chains[-1][-1] if chains else None
-        if p and p["history"] == e["history"] and p["last"] and e["first"] and p["part"] != e["part"]:
-            chains[-1].append(e)
-        else:
-            chains.append([e])
-    out, k = {}, range(STATES)
-    for chain in chains:
-        if len(chain) == 1:
-            continue
-        enter = None
-        enters = []
-        for e in chain:
-            enters.append(enter)
-            m = np.array(e["m"]).reshape(STATES, STATES)
-            start = m.min(axis=0) if enter is None else (np.array(enter)[:, None] + m).min(axis=0)
-            enter = start.tolist()
-        leave = None
-        for i in range(len(chain) - 1, -1, -1):
-            out[(chain[i]["part"], chain[i]["nth"])] = (enters[i], leave)
-            m = np.array(chain[i]["m"]).reshape(STATES, STATES)
-            tail = m + (np.array(leave)[None, :] if leave is not None else 0.0)
-            leave = tail.min(axis=1).tolist()
-    return out
+        yield pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "history": [pdf["history"].iloc[lo]], "m": [_matrix(costs[lo:hi])]})
+
+
+def _carried(forward: bool):
+    """Streams the edges of each history in order (or backwards): the cost of arriving from what came before."""
+
+    def run(batches):
+        now, v = None, np.zeros(STATES)
+        for pdf in batches:
+            out = []
+            for part, history, m in zip(pdf["part"], pdf["history"], pdf["m"]):
+                if history != now:
+                    now, v = history, np.zeros(STATES)
+                out.append(v.tolist())
+                m = np.asarray(m, dtype=float).reshape(STATES, STATES)
+                v = (v[:, None] + m).min(axis=0) if forward else (v[None, :] + m).min(axis=1)
+            yield pd.DataFrame({"part": pdf["part"], "history": pdf["history"], "v": out})
+
+    return run
+
+
+def _boundaries(edges: DataFrame) -> DataFrame:
+    """part, history, enter, leave for the histories that lie in several partitions; a row per such partition."""
+    many = edges.groupBy("history").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("history")
+    edges = cut(edges.join(many, "history").repartition("history"))
+    go = edges.sortWithinPartitions("history", "part").mapInPandas(_carried(True), "part int, history string, v array<double>")
+    back = edges.sortWithinPartitions("history", F.desc("part")).mapInPandas(_carried(False), "part int, history string, v array<double>")
+    return go.withColumnRenamed("v", "enter").join(back.withColumnRenamed("v", "leave"), ["part", "history"])
 
 
-def segment_units(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+def segment_units(rows: DataFrame, partitions: int | None = None, most_shipped: int = MOST_SHIPPED) -> DataFrame:
     """Adds ``unit`` and ``changed`` (a changepoint of its history begins here) to the rows of ``measured``.
 
     Nulls in feed or code make histories of their own; ties in time are ordered by row_id; a value of zero has no
-    level and costs nothing in any unit. An empty input gives an empty result."""
+    level and costs nothing in any unit; a code without any declared value has no level, and its unit is null. An empty
+    input gives an empty result."""
     spark = rows.sparkSession
-    n = partitions or max(width(spark), 1 + rows.count() // ROWS_AT_ONCE)
     ix = F.lit(-1)
     for us in UNITS.values():
         for i, (u, _) in enumerate(us):
             ix = F.when(F.col("declared") == u, F.lit(i)).otherwise(ix)
     log = F.when(F.col("number") > 0, F.log(F.col("number").cast("double")))
     level = F.log(factor_of(F.col("field"), F.col("declared")).cast("double"))
-    rows = rows.withColumn("lg", log).withColumn("declared_ix", ix.cast("int"))
-    base = rows.groupBy(F.col("field").alias("f_"), F.col("code").alias("c_")).agg(F.avg(F.col("lg") + level).alias("base"))
-    rows = rows.join(base, (F.col("field") == F.col("f_")) & F.col("code").eqNullSafe(F.col("c_")), "left").drop("f_", "c_")
-    rows = rows.withColumn("y", F.col("lg") - F.coalesce("base", F.lit(0.0)))
-    rows = rows.withColumn("history", F.to_json(F.struct(*HISTORY)))
+    rows = cut(rows.withColumn("lg", log).withColumn("up", level).withColumn("declared_ix", ix.cast("int")))  # the texts are parsed once
+    n = partitions or max(width(spark), 1 + rows.count() // ROWS_AT_ONCE)
+    base = rows.filter("up is not null").groupBy(F.col("field").alias("f_"), F.coalesce("code", F.lit("")).alias("c_"), F.col("code").isNull().alias("z_")).agg(F.avg(F.col("lg") + F.col("up")).alias("base"), F.lit(True).alias("known"))
+    on = (F.col("field") == F.col("f_")) & (F.coalesce("code", F.lit("")) == F.col("c_")) & (F.col("code").isNull() == F.col("z_"))
+    rows = rows.join(maybe_broadcast(base), on, "left").withColumn("known", F.coalesce("known", F.lit(False)) | (F.col("declared_ix") >= 0))
+    rows = rows.withColumn("y", F.col("lg") - F.col("base")).withColumn("history", F.to_json(F.struct(*HISTORY)))
     order = ["history", "at", "row_id"]
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    rows = cut(rows.drop("lg", "base"))
-    edges = rows.select("part", "history", "field", "y", "declared_ix").mapInPandas(
-        _edges, "part int, nth int, history string, first boolean, last boolean, m array<double>, c0 array<double>").collect()  # two rows a partition
-    known = _boundaries(edges)
+    rows = rows.drop("lg", "up", "base", "f_", "c_", "z_").repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    rows = cut(rows)
+    edges = rows.select("part", "history", "field", "y", "declared_ix").mapInPandas(_edges, "part int, history string, m array<double>")
+    known = cut(_boundaries(cut(edges)))
     names = {q: np.array([u for u, _ in us] + [None] * (STATES - len(us)), dtype=object) for q, us in UNITS.items()}
+    hidden = ["y", "declared_ix", "history", "part", "known"]
+    keep = [c for c in rows.columns if c not in hidden]
 
-    def solve(batches):
-        pdf = _whole(batches)
-        if pdf.empty:
-            return
+    def solved(pdf: pd.DataFrame, edge: dict) -> pd.DataFrame:
         part, costs = int(pdf["part"].iloc[0]), _costs(pdf)
-        unit = np.empty(len(pdf), dtype=int)
+        runs = np.array(_runs(pdf))
+        enter, leave = np.zeros((len(runs), STATES)), np.zeros((len(runs), STATES))
+        for k in {0, len(runs) - 1}:
+            enter[k], leave[k] = edge.get((part, pdf["history"].iloc[runs[k, 0]]), (0.0, 0.0))
+        unit = _solve(costs, runs[:, 0], runs[:, 1], enter, leave)
         changed = np.zeros(len(pdf), dtype=bool)
-        for k, (lo, hi) in enumerate(_runs(pdf)):
-            enter, leave = known.get((part, k), (None, None))
-            unit[lo:hi] = got = np.array(_solve(costs[lo:hi], enter, leave))
-            changed[lo + 1 : hi] = got[1:] != got[:-1]
-        field = pdf["field"].to_numpy()
-        text = np.empty(len(pdf), dtype=object)
+        changed[1:] = (unit[1:] != unit[:-1])
+        changed[runs[:, 0]] = False
+        field, text = pdf["field"].to_numpy(), np.empty(len(pdf), dtype=object)
         for q, us in names.items():
             text[field == q] = us[unit[field == q]]
-        yield pdf.drop(columns=["y", "declared_ix", "history", "part"]).assign(unit=text, changed=changed)
+        told = pdf["known"].to_numpy(dtype=bool)
+        text[~told] = None
+        return pdf[keep].assign(unit=text, changed=changed & told)
+
+    schema = rows.select(*keep).schema.add("unit", "string").add("changed", "boolean")
+    if small_enough(known, most_shipped):
+        edge = {(r["part"], r["history"]): (list(r["enter"]), list(r["leave"])) for r in known.collect()}  # at most most_shipped
+
+        def alone(batches):
+            pdf = _whole(batches)
+            if len(pdf):
+                yield solved(pdf, edge)
+
+        return rows.mapInPandas(alone, schema)
 
-    schema = rows.drop("y", "declared_ix", "history", "part").schema.add("unit", "string").add("changed", "boolean")
-    return rows.mapInPandas(solve, schema)
+    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame({c: [] for c in schema.names})
+        left = left.assign(_at=pd.to_datetime(left["at"])).sort_values(["history", "_at", "row_id"], na_position="first", kind="stable").drop(columns="_at").reset_index(drop=True)
+        return solved(left, {(int(p), h): (list(e), list(v)) for p, h, e, v in zip(right["part"], right["history"], right["enter"], right["leave"])})
+
+    return rows.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(met, schema)
 
 
 def recorded_otherwise(segmented: DataFrame) -> DataFrame:
@@ -241,6 +260,23 @@ def unit_changes(segmented: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("unit")), ",").alias("units_used"))
 
 
+def blinded(rows: DataFrame, one_in: int = 5) -> DataFrame:
+    """``measured`` without the declarations of one history in ``one_in``, chosen by hash; ``hidden`` keeps them."""
+    mine = F.pmod(F.xxhash64(F.to_json(F.struct(*HISTORY))), F.lit(one_in)) == 0
+    hide = mine & ~F.col("clock")
+    return rows.withColumn("hidden", F.when(hide, F.col("declared"))).withColumn("declared", F.when(~hide, F.col("declared")))
+
+
+def recovered(segmented: DataFrame) -> DataFrame:
+    """Per field: hidden units, those that the levels of the other histories of the code recover, and how many are right."""
+    h = segmented.filter("hidden is not null")
+    got = h.withColumn("given", F.col("unit").isNotNull()).withColumn("right", F.coalesce(F.col("unit") == F.col("hidden"), F.lit(False)))
+    odd = F.col("hidden") != F.create_map(*[x for q, us in UNITS.items() for x in (F.lit(q), F.lit(us[0][0]))])[F.col("field")]
+    n = lambda c: F.sum(c.cast("bigint"))
+    return got.groupBy("field").agg(F.count(F.lit(1)).alias("n_hidden"), n(F.col("given")).alias("n_given"), n(F.col("right")).alias("n_right"),
+                                    n(odd).alias("n_not_common"), n(odd & F.col("right")).alias("n_not_common_right"))
+
+
 def with_common_units(fees: DataFrame, feeds: DataFrame) -> DataFrame:
     """fee_row_id and the units of each fee in hundredths of the common unit, in the unit that ``segment_units`` gives.
 
@@ -255,4 +291,4 @@ def with_common_units(fees: DataFrame, feeds: DataFrame) -> DataFrame:
     return out.select(F.col("row_id").alias("fee_row_id"), F.col("common_value").alias("units_common")).filter(F.col("units_common").isNotNull())
 
 
-__all__ = ["Window", "common", "measured", "recorded_otherwise", "segment_units", "unit_changes", "with_common_units"]
+__all__ = ["blinded", "common", "measured", "recorded_otherwise", "recovered", "segment_units", "unit_changes", "with_common_units"]

@@ -19,6 +19,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return units.recorded_otherwise(_segmented(spark, d))
 
 
+def p1_blind(spark: SparkSession, d: str) -> DataFrame:
+    """The declarations of one history in five are hidden; how many of them the changepoint search gives back."""
+    rows = units.measured(table(spark, d, "ns_msi_sample"), table(spark, d, "fee_record"), table(spark, d, "feed_info"))
+    return units.recovered(units.segment_units(units.blinded(rows)))
+
+
 def p1_histories(spark: SparkSession, d: str) -> DataFrame:
     return units.unit_changes(_segmented(spark, d))
 
@@ -135,4 +141,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
         F.col("key").alias("code"), "kind", day("first_day").alias("from_date"), F.coalesce(day("last_day"), F.lit("open")).alias("to_date"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_histories, p2_found, p2_counts, p3_found, p3_history, p5_found, p5_nodes, p5_descendants, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blind, p1_histories, p2_found, p2_counts, p3_found, p3_history, p5_found, p5_nodes, p5_descendants, p6_found, p7_found)}

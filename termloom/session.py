@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -15,12 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """Use the shared folder named by spark.checkpoint.dir. Where that is unset a local session gets a temporary folder,
+    which goes when the program ends; a cluster, whose machines share no such folder, gets an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="termloom-checkpoint-"))
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not named:
+        named = tempfile.mkdtemp(prefix="termloom-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,22 +43,52 @@ def width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, for a Python stage: an input of fewer splits than cores is small and is shuffled once; a
-    larger one stays as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """``df`` over all cores, for a Python stage: an input of fewer bytes than make a split per core is shuffled once; a
+    larger one, and one whose size is unknown, stays as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if bytes_of(df) < cores * split else df
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of ``df`` by the statistics of its plan: no job is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
 
 
-def maybe_broadcast(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Broadcast hint behind a check of the row count; the unhinted frame (shuffled join) beyond it."""
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True if ``df`` has at most ``rows`` rows and ``size`` bytes (as JSON); reads no more than that many rows."""
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("b")).first()
+    return got["n"] <= rows and (got["b"] or 0) <= size
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint behind a check of rows and bytes; the unhinted frame (shuffled join) beyond them."""
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+ROWS_PER_SALT = 2_000_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Left join on ``keys`` in which a key with more than ``per_salt`` rows of ``left`` is met in that many parts: its left
+    rows are salted by hash and its right rows repeated per part. ``right`` has few rows per key. Rows with a null key
+    meet nothing. The hot keys are at most rows / ``per_salt``."""
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > per_salt).select(*keys, F.ceil(F.col("_n") / per_salt).cast("int").alias("_parts"))
+    if hot.isEmpty():
+        return left.join(right, keys, "left")
+    hot = cut(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    rest = [F.col(c) for c in left.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(*rest), parts.cast("bigint")).cast("int") if rest else F.lit(0)
+    a = left.join(maybe_broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
+    b = right.join(maybe_broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return a.join(b, [*keys, "_salt"], "left").drop("_salt")
+
+
 def whole_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Re-cut a stream sorted by ``keys`` so that no group spans two frames."""
     held: list[pd.DataFrame] = []

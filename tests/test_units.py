@@ -63,7 +63,8 @@ def test_search_is_exact():
     for _ in range(30):
         costs = rng.uniform(0, 9, (5, U.STATES))
         best = min(cost_of(costs, p) for p in itertools.product(range(U.STATES), repeat=5))
-        assert math.isclose(cost_of(costs, U._solve(costs, None, None)), best)
+        none = np.zeros((1, U.STATES))
+        assert math.isclose(cost_of(costs, U._solve(costs, np.array([0]), np.array([5]), none, none)), best)
 
 
 def test_result_does_not_depend_on_partitions(spark):
@@ -72,5 +73,26 @@ def test_result_does_not_depend_on_partitions(spark):
     fees = [(i, "hot", None, str(round(40 * (20 if (i // 37) % 3 == 1 else 1) * float(rng.uniform(0.9, 1.1)), 2)), None, start + dt.timedelta(i), "u", 0) for i in range(400)]
     fees += [(1000 + i, "hot", None, "40 MSU", None, start + dt.timedelta(i), "f", 0) for i in range(50)]
     m = U.measured(*frames(spark, fees))
-    one, many = ({(r["row_id"], r["unit"]) for r in U.segment_units(m, n).collect()} for n in (1, 7))
-    assert one == many and {u for _, u in one} == {"msu", "point"}
+    one, many, joined = ({(r["row_id"], r["unit"], r["changed"]) for r in U.segment_units(m, n, k).collect()} for n, k in ((1, 100), (7, 100), (7, 0)))
+    assert one == many == joined and {u for _, u, _ in one} == {"msu", "point"}
+
+
+def test_codes_without_a_declared_value_get_no_unit(spark):
+    day = dt.date(2020, 1, 1)
+    fees = [(i, "lone", None, "40", None, day + dt.timedelta(i), "u", 0) for i in range(4)] + [(9, "b", None, "0", None, day, "u", 0), (10, "b", None, "7 pts", None, day, "u", 0)]
+    seg = U.segment_units(U.measured(*frames(spark, fees)))
+    assert {r["row_id"]: (r["unit"], r["changed"]) for r in seg.collect() if r["row_id"] < 9} == {i: (None, False) for i in range(4)}
+    assert {tuple(r) for r in U.recorded_otherwise(seg).collect()} == {("ns_msi_sample", 9, "units", 0), ("ns_msi_sample", 10, "units", 35)}
+
+
+def test_hidden_units_come_back_from_levels(spark):
+    rng, start = np.random.default_rng(4), dt.date(2010, 1, 1)
+    fees, i = [], 0
+    for c in range(12):
+        for feed in range(6):
+            for k in range(30):
+                point = (k // 10 + feed) % 2
+                fees.append((i, f"c{c}", None, f"{(5 + 9 * c) * (20 if point else 1) * float(rng.uniform(0.9, 1.1)):.2f} {'pts' if point else 'MSU'}", None, start + dt.timedelta(k), f"feed{feed}", 0))
+                i += 1
+    got = U.recovered(U.segment_units(U.blinded(U.measured(*frames(spark, fees))))).first()
+    assert got["n_hidden"] > 100 and got["n_given"] == got["n_hidden"] and got["n_right"] >= 0.9 * got["n_hidden"]
