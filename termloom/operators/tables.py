@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.session import cut, width
+from termloom.session import pinned, width
 
 
 def _on(a: str, b: str, keys: list[str]) -> Column:
@@ -67,7 +67,7 @@ def assign_ids(known: DataFrame, new: DataFrame, keys: list[str], id_col: str) -
     fresh = new.join(known.select(*keys).distinct(), keys, "left_anti")
     top = known.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).first()["m"]
     n = width(spark)
-    placed = cut(fresh.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id()))
+    placed = pinned(fresh.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id()))
     sizes = sorted((r["_p"], r["n"]) for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
     start, offsets = top, []
     for p, k in sizes:

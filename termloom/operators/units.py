@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import quantity as Q
-from termloom.session import cut, maybe_broadcast, small_enough, width
+from termloom.session import cut, maybe_broadcast, pinned, small_enough, width
 
 #: Units and their factors to the common unit of the quantity; the first is the common unit.
 UNITS = {
@@ -201,7 +201,7 @@ def segment_units(rows: DataFrame, partitions: int | None = None, most_shipped:
     rows = rows.withColumn("y", F.col("lg") - F.col("base")).withColumn("history", F.to_json(F.struct(*HISTORY)))
     order = ["history", "at", "row_id"]
     rows = rows.drop("lg", "up", "base", "f_", "c_", "z_").repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    rows = cut(rows)
+    rows = pinned(rows)
     edges = rows.select("part", "history", "field", "y", "declared_ix").mapInPandas(_edges, "part int, history string, m array<double>")
     known = cut(_boundaries(cut(edges)))
     names = {q: np.array([u for u, _ in us] + [None] * (STATES - len(us)), dtype=object) for q, us in UNITS.items()}

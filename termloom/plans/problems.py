@@ -111,12 +111,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
-    out = hierarchy.summary(hierarchy.resolve(_links(spark, d))).withColumn("root", F.split("root", SEP, 3)[2])
+    links = _links(spark, d)
+    out = hierarchy.summary(hierarchy.resolve(links), links).withColumn("root", F.split("root", SEP, 3)[2])
     return _named(out, "kind", F.col("depth").cast("int").alias("depth"), "root", "n_descendants")
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    out = hierarchy.descendants(hierarchy.resolve(_links(spark, d))).filter("distance > 0").withColumn("ancestor", F.split("ancestor", SEP, 3)[2])
+    links = _links(spark, d)
+    out = hierarchy.closure(links, hierarchy.resolve(links)).filter("distance > 0").withColumn("ancestor", F.split("ancestor", SEP, 3)[2])
     return _named(out, "ancestor", F.col("distance").cast("int").alias("distance"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -32,7 +33,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back: survives lost executors, keeps the partitioning."""
+    """Write ``df`` as a table in the checkpoint folder and read it back: survives lost executors, and its statistics are
+    those of the files, where a checkpoint's would grow with every join of a loop. The layout is not kept."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, with the rows of each partition and their order kept."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

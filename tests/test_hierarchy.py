@@ -43,5 +43,61 @@ def test_summary_and_closure(spark):
     assert {tuple(x) for x in T.descendants(r).filter("distance > 0").collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 1)}
 
 
+def brute_many(links):
+    """kind and ancestors of every node over all parents."""
+    up = {}
+    for n, p in links:
+        up.setdefault(n, set()).update({p} - {None})
+        up.setdefault(p, set()) if p else None
+    anc = {}
+    for n in up:
+        seen, todo = {}, [(p, 1) for p in up[n]]
+        while todo:
+            p, k = todo.pop(0)
+            if p not in seen:
+                seen[p] = k
+                todo += [(q, k + 1) for q in up[p]]
+        anc[n] = seen
+    loop = {n for n in up if n in anc[n]}
+    clean = set()
+    while True:
+        more = {n for n in up if n not in loop and n not in clean and (not up[n] or up[n] & clean)}
+        if not more:
+            break
+        clean |= more
+    kind = {n: "cycle" if n in loop else "tree" if n in clean else "below" for n in up}
+    path = {}
+
+    def walk(n):
+        if n not in path:
+            ps = sorted(p for p in up[n] if p in clean)
+            path[n] = (*walk(ps[0]), n) if ps else (n,)
+        return path[n]
+
+    def near(n):
+        seen, todo = {}, [(p, 1) for p in up[n] & clean]
+        while todo:
+            p, k = todo.pop(0)
+            if p not in seen:
+                seen[p] = k
+                todo += [(q, k + 1) for q in up[p] & clean]
+        return seen
+
+    return {(n, k, walk(n) if k == "tree" else None) for n, k in kind.items()}, {(a, n, k) for n in clean for a, k in near(n).items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_several_parents(spark, seed):
+    random.seed(seed)
+    links = [("b", None), ("a", None), ("c", "a"), ("c", "b"), ("d", "c"), ("l1", "l2"), ("l2", "l1"), ("l1", "a"), ("e", "l1"), ("e", "b"), ("f", "e"), ("g", "l2"), ("z", "l2"), ("l1", "z"), ("s", "s"), ("s", "a"), ("t", "s"),
+             ("p", "a"), ("q", "p"), ("p", "q"), ("r", "q"), ("r", "b")]
+    links += [(f"n{i}", f"n{random.randrange(max(0, i - 9), i)}") for i in range(1, 40) for _ in range(random.choice([1, 1, 2, 3]))] + [("n3", "n30")] * seed
+    df = spark.createDataFrame(links, "node string, parent string")
+    r = T.resolve(df)
+    kinds, pairs = brute_many(links)
+    assert {(x["node"], x["kind"], tuple(x["path"]) if x["path"] else None) for x in r.collect()} == kinds
+    assert {tuple(x) for x in T.closure(df, r).filter("distance > 0").select("ancestor", "node", "distance").collect()} == pairs
+
+
 def test_empty(spark):
     assert T.resolve(spark.createDataFrame([], "node string, parent string")).count() == 0
