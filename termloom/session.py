@@ -64,7 +64,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def bytes_of(df: DataFrame) -> int:
     """Bytes of ``df`` by the statistics of its plan: no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
