@@ -52,6 +52,23 @@ def test_leaks(spark):
     assert L.leaks(d.limit(0), it).count() == 0 and L.leaks(d, it.limit(0)).count() == 0
 
 
+def test_many_blocks_read_the_corpus_once(spark):
+    random.seed(6)
+    items = [(i, " ".join(f"w{random.randrange(50)}" for _ in range(40))) for i in range(12)] + [(50, " ".join(f"long{k}" for k in range(900)))]
+    docs = [(i, f"intro {items[i % 12][1]} outro {i}") for i in range(60)] + [(100, " ".join(f"long{k}" for k in range(140, 170))), (101, " ".join(f"x{k}" for k in range(2000)))]
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").mapInPandas(tell, "doc_id bigint, text string")
+    got = {tuple(r) for r in L.leaks(d, spark.createDataFrame(items, "item_id bigint, text string"), 8, 150).collect()}
+    assert got == brute(docs, items, 8) and seen.value == len(docs)
+    assert got == {(i, i % 12) for i in range(60)} | {(100, 50)}
+
+
 def test_spans(spark):
     text = "Before all. One two three, four five six seven EIGHT nine! After that there is quite some more text to keep here."
     item = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id bigint, text string")
