@@ -3,13 +3,18 @@
 A text is scored sentence by sentence and has the score of its worst sentence. The terms of a sentence are its words,
 pairs of words and marks of person and masking, hashed; the machine adds a weight for each term and the dot product of
 the factors of each pair of terms, so an insult counts with a mention of ``you`` and not beside ``brace``. It is fitted
-on seed sentences and on human labels of whole documents, of which at most ``MOST_LABELS`` are read. A document label
+on general seed sentences and on human labels of whole documents, of which at most ``most`` are read. A document label
 does not say which sentence it means: the sentences of a document labelled none are negative, and of one labelled
-otherwise the sentence that the machine so far finds worst is positive. The machine has a fixed size.
+otherwise those are positive that the machine so far finds so, or whose terms stand out among the documents with a label
+against those without. The machine has a fixed size; the texts are read once.
+
+Each distinct token is folded and hashed once per worker; the terms of a batch of texts are then made and scored as whole
+arrays.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 
@@ -26,25 +31,30 @@ FACTORS = 8
 MOST_LABELS = 20_000
 MOST_SENTENCES = 60_000
 THRESHOLD = 0.5
-LIFT = 4.0  # how much more frequent a term is among documents with a label
+LIFT = 8.0  # how much more frequent a term is among documents with a label than among those without
+TEXTS_AT_ONCE = 1_000
 
 _SPLIT = re.compile(r"(?<=[.!?;])[\s\"')]+|[\r\n]+")
+_WRAP = re.compile(r"[ \t]+\r?\n[> ]*|\r?\n> +")  # lines broken inside a sentence
 _CAPITAL = re.compile(r"(?<=[^\W_,]) (?=[A-Z][a-z']* )")
 _SPEAKER = re.compile(r"^\s*[>\-*]*\s*[A-Za-zÀ-ÿ]{2,14}:\s+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?![^\W_])")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "€": "e"})
 _TOKEN = re.compile(r"[a-z0-9@$*€!#]+(?:'[a-z]+)?")
 #: Words that mark who is spoken to or of.
-_YOU = frozenset("you your yours you're you'll yourself u ur youre tu te toi ton ta tes t'es vous votre".split())
-_SELF = frozenset("i me my mine myself i'm i've i'd i'll je me moi mon ma mes".split())
-_THEY = frozenset("they them their he she him her his hers patient".split())
+_MARKS = {"#you": frozenset("you your yours you're you'll yourself u ur youre tu te toi ton ta tes t'es vous votre".split()),
+          "#self": frozenset("i me my mine myself i'm i've i'd i'll je me moi mon ma mes".split()),
+          "#they": frozenset("they them their he she him her his hers patient".split())}
 
 
 def parts(text: str) -> list[str]:
-    """The sentences of a text, without the names of speakers."""
-    out = [s for s in (_SPEAKER.sub("", p).strip() for p in _SPLIT.split(unicodedata.normalize("NFKC", text))) if s]
+    """The sentences of a text, without the names of speakers; long ones also cut at capitals, as a full stop may be missing."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    text = _WRAP.sub(" ", text)
+    out = [s for s in (_SPEAKER.sub("", p).strip() for p in _SPLIT.split(text)) if s]
     for s in out[:]:
-        if s.count(" ") > 10:  # a full stop may be missing
+        if s.count(" ") > 10:
             out += [f for f in _CAPITAL.split(s) if f.count(" ") > 1 and f != s]
     return out
 
@@ -56,60 +66,122 @@ def _letters(token: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1", token)
 
 
-def terms(sentence: str) -> list[int]:
-    """Hashed terms of a sentence, each once."""
-    s = "".join(c for c in unicodedata.normalize("NFKD", sentence) if not unicodedata.combining(c)).lower().replace("’", "'")
-    s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group(0)), s)
-    raw = _TOKEN.findall(s)
-    ws, marks = [], set()
-    for t in raw:
-        w = _letters(t)
+def _hash(term: str) -> int:
+    return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little")
+
+
+class Words:
+    """Tokens as numbers: the hash of each word and the buckets of its marks, made once per distinct token."""
+
+    MOST = 400_000
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.hashes, self.marks = [_hash("^")], [()]  # number 0 bounds a sentence
+        self.seen: tuple[int, np.ndarray] = (0, np.zeros(0, dtype="uint64"))
+
+    def add(self, token: str) -> int:
+        w = _letters(token)
+        marks = []
         if w.isdigit() or not w.strip("!#"):
-            continue
+            self.ids[token] = -1
+            return -1
         if "*" in w:
-            marks.add("#masked")
+            marks.append("#masked")
         w = w.strip("!#")
-        ws.append(w)
-        marks |= {m for m, group in (("#you", _YOU), ("#self", _SELF), ("#they", _THEY)) if w in group}
+        marks += [m for m, group in _MARKS.items() if w in group]
         if len(w) > 4 and w.endswith("s") and not w.endswith("ss"):
-            marks.add(w[:-1])
-    out = set(ws) | marks | {f"{a} {b}" for a, b in zip(["^", *ws], [*ws, "$"])}
-    return sorted({_hash(t) for t in out})
+            marks.append(w[:-1])
+        n = self.ids[token] = len(self.hashes)
+        self.hashes.append(_hash(w))
+        self.marks.append(tuple(_hash(m) % BUCKETS for m in marks))
+        return n
+
+    def array(self) -> np.ndarray:
+        if self.seen[0] != len(self.hashes):
+            self.seen = (len(self.hashes), np.array(self.hashes, dtype="uint64"))
+        return self.seen[1]
+
+
+_words = Words()
+
+
+def featurize(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, ends): the terms of sentence i are buckets[ends[i]:ends[i + 1]]."""
+    if len(_words.ids) > Words.MOST:
+        _words.clear()
+    flat, counts, get, add = [], [], _words.ids.get, _words.add
+    for s in sentences:
+        if not s.isascii():
+            s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).replace("’", "'")
+        s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group(0)), s.lower())
+        before = len(flat)
+        flat.append(0)
+        for t in _TOKEN.findall(s):
+            n = get(t)
+            if n is None:
+                n = add(t)
+            if n > 0:
+                flat.append(n)
+        if len(flat) == before + 1:
+            flat.pop()
+        counts.append(len(flat) - before)
+    ws, n = np.array(flat, dtype="int64"), np.array(counts, dtype="int64")
+    if not len(ws):
+        return ws, np.zeros(len(sentences) + 1, dtype="int64")
+    h = _words.array()[ws]
+    row = np.repeat(np.arange(len(n)), n)
+    after = np.append(h[1:], h[0])
+    after[np.append(row[1:] != row[:-1], True)] = np.uint64(_words.hashes[0])  # the last word of a sentence is followed by its bound
+    with np.errstate(over="ignore"):
+        pair = (h * np.uint64(0x9E3779B97F4A7C15) + after) * np.uint64(0xBF58476D1CE4E5B9)
+    pair = ((pair >> np.uint64(31)) % np.uint64(BUCKETS)).astype("int64")
+    inner = ws > 0
+    one = (h[inner] % np.uint64(BUCKETS)).astype("int64")
+    marks = _words.marks
+    extra = [(r, m) for r, w in zip(row[inner].tolist(), ws[inner].tolist()) for m in marks[w]]
+    rows = np.concatenate([row, row[inner], np.array([r for r, _ in extra], dtype="int64")])
+    ids = np.concatenate([pair, one, np.array([m for _, m in extra], dtype="int64")])
+    key = np.unique(rows * BUCKETS + ids)  # each term of a sentence once
+    return key % BUCKETS, np.concatenate([[0], np.cumsum(np.bincount(key // BUCKETS, minlength=len(n)))])
 
 
-def _hash(term: str) -> int:
-    h = 2166136261
-    for b in term.encode():
-        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
-    return (h ^ (h >> 15)) % BUCKETS
+def terms(sentence: str) -> list[int]:
+    """Hashed terms of a sentence, each once."""
+    return featurize([sentence])[0].tolist()
 
 
-def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.cumsum([0, *[len(r) for r in rows]])
-    return np.fromiter((i for r in rows for i in r), dtype="int64", count=int(ends[-1])), ends
+def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(rows), np.cumsum([0, *[len(r) for r in rows]])
 
 
-def score(rows: list[list[int]], model: dict) -> np.ndarray:
-    """Probability that each sentence is abusive, hateful or sexual."""
-    out = np.zeros(len(rows))
-    full = [i for i, r in enumerate(rows) if r]
-    if not full:
+def score(ids: np.ndarray, ends: np.ndarray, model: dict) -> np.ndarray:
+    """Probability that each sentence is abusive, hateful or sexual; 0 for one without terms."""
+    n = np.diff(ends)
+    out, full = np.zeros(len(n)), n > 0
+    if not full.any():
         return out
-    ix, ends = _csr([rows[i] for i in full])
-    scale = 1 / np.sqrt(np.diff(ends))
-    v, at = model["v"][ix], ends[:-1]
-    s, q = np.add.reduceat(v, at, axis=0) * scale[:, None], np.add.reduceat(v * v, at, axis=0) * (scale**2)[:, None]
-    z = model["b"] + np.add.reduceat(model["w"][ix], at) + 0.5 * (s * s - q).sum(axis=1)
+    at, scale = ends[:-1][full], 1 / np.sqrt(n[full])
+    v = model["v"][ids]
+    s, q = np.add.reduceat(v, at, axis=0) * scale[:, None], np.add.reduceat(np.einsum("ij,ij->i", v, v), at) * scale**2
+    z = model["b"] + np.add.reduceat(model["w"][ids], at) + 0.5 * ((s * s).sum(axis=1) - q)
     out[full] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return out
 
 
-def fit(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, epochs: int = 14, rate: float = 0.08, decay: float = 2e-5, seed: int = 3) -> dict:
+def score_rows(rows: list[np.ndarray], model: dict) -> np.ndarray:
+    return score(*_csr(rows), model) if rows else np.zeros(0)
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 14, rate: float = 0.08, decay: float = 2e-5, seed: int = 3) -> dict:
     """A factorization machine by AdaGrad on the logistic loss, in mini-batches."""
     rng = np.random.default_rng(seed)
     m = {"w": np.zeros(BUCKETS), "v": rng.normal(0, 0.05, (BUCKETS, FACTORS)), "b": -1.0}
     gw, gv, gb = np.full(BUCKETS, 1e-4), np.full((BUCKETS, FACTORS), 1e-4), 1e-4
-    keep = np.array([i for i, r in enumerate(rows) if r])
+    keep = np.array([i for i, r in enumerate(rows) if len(r)])
     for _ in range(epochs):
         order = rng.permutation(keep)
         for lo in range(0, len(order), 128):
@@ -137,49 +209,45 @@ def fit(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, epochs: int =
     return m
 
 
-def train(labelled: pd.DataFrame, counts: np.ndarray | None = None, n_docs: int = 0, rounds: int = 2) -> dict:
-    """labelled: text, label (none or a kind of abuse). counts: documents of the corpus with each term, of n_docs.
+def train(labelled: pd.DataFrame, rounds: int = 3, most_sentences: int = MOST_SENTENCES) -> dict:
+    """labelled: text, label (none or a kind of abuse).
 
     A sentence of a document with a label is taken as positive if the machine so far finds it so, or if half of its
-    terms are much more frequent among the documents with a label than in the corpus; as negative if its terms are not.
-    Without labels the seed alone is used."""
+    terms are much more frequent among the documents with a label than among those without; as negative if its terms
+    are not. Of the sentences of documents without a label at most ``most_sentences`` are taken, by hash. Without labels
+    the seed alone is used."""
     seed, seed_y = seed_sentences()
-    base = [terms(s) for s in seed]
-    y0, w0 = np.array(seed_y, dtype=float), np.ones(len(base))
+    rows_of = lambda ss: (lambda ids, ends: [ids[a:b] for a, b in zip(ends[:-1], ends[1:])])(*featurize(ss))
+    base, y0 = rows_of(seed), np.array(seed_y, dtype=float)
     bad = (labelled["label"] != "none").to_numpy(dtype=bool)
-    docs = [[terms(s) for s in dict.fromkeys(parts(t))] for t in labelled["text"]]
-    plain = {tuple(r): r for rs, b in zip(docs, bad) if not b for r in rs}
-    clean = list(plain.values())[:MOST_SENTENCES]
+    texts = [list(dict.fromkeys(parts(t))) for t in labelled["text"]]
+    docs = [[r for r in rows_of(ss) if len(r)] for ss in texts]
+    plain = {s: None for ss, b in zip(texts, bad) if not b for s in ss}
+    clean = [r for r in rows_of(sorted(plain, key=lambda s: (_hash(s), s))[:most_sentences]) if len(r)]
     bad_docs = [rs for rs, b in zip(docs, bad) if b and rs]
-    here = np.zeros(BUCKETS)
-    for rs in bad_docs:
-        here[list({t for r in rs for t in r})] += 1
-    there, n = (np.asarray(counts, dtype=float), n_docs) if counts is not None and n_docs else (np.zeros(BUCKETS), 0)
-    if not n:
-        for rs in docs:
-            there[list({t for r in rs for t in r})] += 1
-        n = max(1, len(docs))
-    lift = ((here + 0.25) / max(1, len(bad_docs))) / ((there + 1) / n)
-    odd_term = (lift >= LIFT) & (here >= 2)
-    common = (lift < 2) & (there >= 20)
-    model = fit(base, y0, w0)
-    for _ in range(rounds):
-        p = score(clean, model)
-        rows, y, w = [*base], [*y0], [*w0]
-        for r, q in zip(clean, p):
+    here, there = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for rs, b in zip(docs, bad):
+        if rs:
+            (here if b else there)[np.unique(np.concatenate(rs))] += 1
+    n_bad, n_none = max(1, len(bad_docs)), max(1, int((~bad).sum()))
+    lift = ((here + 0.1) / n_bad) / ((there + 0.5) / n_none)
+    odd_term, common = (lift >= LIFT) & (here >= 2), (lift < 2) & (there >= 0.002 * n_none)
+    model = fit(base, y0, np.ones(len(base)))
+    for _ in range(rounds if len(labelled) else 0):
+        rows, y, w = [*base], [*y0], [0.5] * len(base)
+        for r, q in zip(clean, score_rows(clean, model)):
             if q < 0.9:  # else the label may be wrong
                 rows.append(r)
                 y.append(0.0)
                 w.append(0.5)
         for rs in bad_docs:
-            for r, q in zip(rs, score(rs, model)):
-                if not r:
-                    continue
+            p = score_rows(rs, model)
+            for r, q in zip(rs, p):
                 odd = odd_term[r].mean()
                 if odd >= 0.5 or (q >= 0.5 and odd >= 0.15):
                     rows.append(r)
                     y.append(1.0)
-                    w.append(0.7)
+                    w.append(1.0)
                 elif common[r].mean() >= 0.7:
                     rows.append(r)
                     y.append(0.0)
@@ -188,27 +256,6 @@ def train(labelled: pd.DataFrame, counts: np.ndarray | None = None, n_docs: int
     return {"w": model["w"].astype("float32"), "v": model["v"].astype("float32"), "b": float(model["b"])}
 
 
-def term_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents of the whole corpus that hold each hashed term, and their number: an array of a fixed size."""
-
-    def count(batches):
-        c, n = np.zeros(BUCKETS, dtype="int64"), 0
-        for pdf in batches:
-            for t in pdf["text"]:
-                n += 1
-                found = {x for s in parts(t) for x in terms(s)}
-                c[list(found)] += 1
-        at = np.flatnonzero(c)
-        yield pd.DataFrame({"term": np.append(at, -1), "n": np.append(c[at], n)})
-
-    rows = spread(docs.filter(F.col("text").isNotNull()).select("text")).mapInPandas(count, "term bigint, n bigint")
-    got = rows.groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows
-    out, n = np.zeros(BUCKETS, dtype="int64"), 0
-    inner = got[got["term"] >= 0]
-    out[inner["term"].to_numpy()] = inner["n"].to_numpy()
-    return out, int(got.loc[got["term"] < 0, "n"].sum())
-
-
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> pd.DataFrame:
     """At most ``most`` labels with their texts, chosen by hash; a document with several labels has one row each."""
     lab = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "label")
@@ -224,12 +271,13 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         for pdf in batches:
             m, texts = shared.value, pdf["text"].tolist()
-            for lo in range(0, len(texts), 500):
-                chunk = [parts(t) if isinstance(t, str) else [] for t in texts[lo : lo + 500]]
-                uniq = {s: i for i, s in enumerate(dict.fromkeys(s for ss in chunk for s in ss))}
-                p = score([terms(s) for s in uniq], m) if uniq else np.zeros(0)
-                best = [max((p[uniq[s]] for s in ss), default=0.0) for ss in chunk]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo : lo + 500], "source": pdf["source"].iloc[lo : lo + 500], "score": np.round(np.array(best, dtype=float), 6)})
+            for lo in range(0, len(texts), TEXTS_AT_ONCE):
+                chunk = [parts(t) if isinstance(t, str) else [] for t in texts[lo : lo + TEXTS_AT_ONCE]]
+                n, best = np.array([len(c) for c in chunk]), np.zeros(len(chunk))
+                p = score(*featurize([s for c in chunk for s in c]), m)
+                if len(p):
+                    best[n > 0] = np.maximum.reduceat(p, (np.cumsum(n) - n)[n > 0])
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo : lo + TEXTS_AT_ONCE], "source": pdf["source"].iloc[lo : lo + TEXTS_AT_ONCE], "score": np.round(best, 6)})
 
     return spread(docs.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, score double")
 

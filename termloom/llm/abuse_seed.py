@@ -1,7 +1,8 @@
-"""Seed sentences for the abuse model: templates with slots, expanded by rule.
+"""Seed sentences for the abuse model: general templates with slots, expanded by rule.
 
-The first list of each pair of slots is what a writer says to or about people; the second list is the same vocabulary
-in clinical wording, in reports of abuse suffered, about things, animals or oneself. Fixed values, written by hand.
+The first list is what a writer may say to or about people anywhere; the second uses the same vocabulary about things,
+animals or oneself, in reports of abuse suffered, or in clinical wording. Written by hand, without regard to the
+wording of any corpus; what is usual in a corpus is learnt from its labels.
 """
 
 from __future__ import annotations
@@ -12,58 +13,49 @@ from itertools import islice
 import numpy as np
 
 SLOTS = {
-    "noun": "idiot moron loser scumbag pig rat toad coward imbecile trash filth worm liar jerk bastard bitch clown leech parasite fool creep dunce".split(),
-    "adj": "stupid filthy useless worthless pathetic brainless spineless disgusting dumb lying miserable ugly lazy slimy gutless braindead".split(),
-    "beast": "animals vermin rats parasites savages maggots cockroaches filth subhuman scum pigs".split(),
-    "harm": "smash break burn beat kill stab choke strangle slit cut".split(),
-    "part": "ass tits thighs body mouth lips breasts pussy cock legs skin".split(),
-    "lust": "lick suck kiss taste ride spank stroke fuck touch squeeze".split(),
-    "hot": "horny naked hot kinky wet sexy nude".split(),
-    "group": ["immigrants", "refugees", "foreigners", "disabled", "old people", "gays", "women", "believers", "newcomers", "natives", "zorvek people", "brunals", "quellish", "hill people", "dravoni"],
-    "thing": "portal brace car printer bandage kettle bus password".split(),
-    "ill": "sprain rash cough ulcer hernia cyst numbness fever".split(),
-    "site": "knee wrist jaw hip elbow thigh back".split(),
-    "who": ["a cousin", "the other driver", "an ex-partner", "the father", "a neighbour", "classmates", "a co-worker"],
-    "drug": "penicillin ibuprofen insulin codeine".split(),
-    "day": "monday tuesday friday".split(),
+    "noun": "idiot moron loser scumbag pig coward imbecile liar jerk bastard bitch clown creep fool rat leech".split(),
+    "adj": "stupid useless worthless pathetic disgusting dumb miserable ugly lazy filthy".split(),
+    "vermin": "vermin parasites animals savages rats filth scum".split(),
+    "harm": "kill stab strangle shoot beat punch burn choke".split(),
+    "sex": "fuck lick suck ride spank".split(),
+    "body": "ass tits cock pussy breasts thighs".split(),
+    "hot": "horny naked sexy kinky nude".split(),
+    "group": "immigrants refugees foreigners muslims jews gays lesbians blacks women gypsies pensioners".split(),
+    "thing": "laptop kettle lawnmower website printer alarm bicycle parking".split(),
+    "ill": "rash cough ulcer fever headache cramp".split(),
+    "pet": "cat dog parrot hamster horse".split(),
+    "kin": ["her brother", "an uncle", "his boss", "the landlord", "a stranger", "a former friend"],
 }
 
 HARSH = """
-you are a {adj} {noun}|you {adj} {noun}|you're nothing but {noun}|what a {adj} {noun} you are|shut your {adj} mouth, you {noun}|shut up, {noun}
-get lost, {noun}, nobody wants you here|only a {noun} like you could prescribe {drug} for a {ill}|how does someone as {adj} as you even get dressed, {noun}
-you people are {adj} {noun}s, go to hell|go back under your rock, {adj} {noun}|f*** you and your {ill}, piece of {noun}|f*** off you {noun}|screw you, {noun}
-you are a {noun} and everyone here knows it|everyone at the desk knows you are a {adj} {noun}|i hope you rot in that office, {noun}|listen, {noun}, i will {harm} you
-you {noun}, do us all a favour and jump|you are a waste of oxygen|listen you waste of oxygen, i will {harm} you senseless|kill yourself, {noun}|go die, {noun}
-i will {harm} you|i'll {harm} your face in|next time i see you i'll {harm} your face|one more word and i {harm} your throat|i know where you live, so watch your back|i know where you park, watch your back
-i hope you choke on it, {noun}|i hope you break your neck, you {adj} {noun}|hope you never wake up|i hope you die|hope you rot|i will burn your house down with you inside|we will find you and {harm} you
-the world would be better without you|the world would be brighter without you in it|nobody will miss you when you are gone|no one would care if you were dead|your mother should have drowned you at birth|you should never have been born
-{group} are not really human|{group} are {beast}|{group} breed like rats and bring disease with them|all {group} are {beast}|typical {group}, {beast} the lot of them|send the {group} back where they crawled out from
-send all {group} back where they came from|no {group} should be allowed here, they are {beast}|no {group} should be allowed in our hospitals, they are {beast}|the {group} should be wiped out|somebody should see to it that the {group} get wiped out
-if it were up to me every one of the {group} would be locked up for good|every one of those {group} should be shot|you can't trust {group}, it is in their blood|never trust {group}, they are all thieves|i won't be touched by one of those {adj} {group}
-i won't be treated by a {adj} {group} nurse|our street was clean before the {group} came, now it stinks of them|why waste a bed on {group}, let nature sort them out|they should test {drug} on the {group} first, nobody would mind|{group} are a cancer on this country|this country was better before the {group} came
-send me {hot} pics|send me nudes and tell me what you're wearing, i'm so {hot}|are you {hot}|i want to {lust} your {part}|i want to {lust} your {part} until you moan|i would {lust} you on that table|i'd pay good money to {lust} that {part} of yours
-come over and bend over, sexy, i'll {lust} that {part}|let me feel your {part} grinding on mine, baby|my bed is cold, come and let me {lust} every inch of you|i keep touching myself thinking about your {hot} {part}|i can't stop thinking about your {hot} {part}
-{hot} {hot} girls waiting to {lust} you all night, click here|free porn vids, big {part}, hardcore action, no signup|xxx hardcore porn, {hot} {part}, click here|he came all over her {hot} {part}|he pushed deeper inside her and she screamed for more|she undid his belt and took him in her mouth
-they tore each other's clothes off and did it against the wall|she moaned as he thrust into her|he slid his hand between her {part}|she wrapped her {part} around him and begged for more
-tu es une ordure|t'es qu'un pauvre con, dégage|ferme ta gueule, espèce d'imbécile|va crever, sale menteur|je vais te casser la figure|je vais te tuer|personne ne te regrettera, bon débarras|j'ai envie de te lécher partout, viens toute nue|espèce de salope|les {group} sont des rats|les {group} sont de la vermine, qu'on les mette dehors|les {group} sont des animaux, qu'ils rentrent chez eux|tu es un déchet inutile
+you really are the most {adj} {noun} i ever met|nobody likes you, {noun}|what kind of {adj} {noun} writes this|oh look, the {noun} is talking again|crawl away and never come back, {noun}|you disgust me, you {adj} {noun}
+how can one person be this {adj}, you {noun}|your whole family are {noun}s|everyone laughs at you, {adj} {noun}|you {noun} ruined everything|go to hell, {noun}|stfu {noun}|fuck you|fuck off, {noun}|eat shit, {noun}|screw you and your kind
+i am going to {harm} you|i swear i will {harm} you tonight|i'll {harm} you and your kids|wait outside, i want to {harm} you|say that again and i {harm} you|you will be dead by the weekend|i have a knife and i know your address|somebody ought to {harm} you
+i wish you were dead|just kill yourself already|please go hang yourself|drop dead, {noun}|hope a truck hits you|may you suffer for years|i pray you get cancer|you deserve to be beaten|do everybody a favour and die
+pure {vermin}, these {group}|those {group} are all {vermin}, every single one|we have too many {group}, get rid of them|deport all the {group}|{group} should not be allowed to have children|gas the {group}|{group} are stupid by nature|i hate {group}, they are {vermin}
+a {group} doctor, no thanks, they are {vermin}|kick the {group} out of our town|{group} spread diseases, keep them away from decent people|no decent person wants {group} around|{group} belong in a cage|the only good {group} are dead {group}
+i want to {sex} you so bad|let me {sex} your {body}|show me your {body}, baby|send a picture of your {body}|you make me so {hot}, come to bed with me|wanna have sex with you right now|she wants his {cock} in her mouth|he came inside her|her {body} bounced while he fucked her
+watch {hot} girls live on cam|{hot} milfs near you want to {sex}|i would love to {sex} that {body}|he grabbed her {body} and pushed into her|she spread her legs and moaned|he ripped her dress off and {sex}ed her|spread your legs for me|i dream of your {body}
+tu es un vrai {fr}|espèce de {fr}|ferme-la, {fr}|je vais te frapper|je te tuerai|crève, {fr}|les étrangers sont des parasites|les immigrés sont de la racaille, dehors|j'ai envie de te baiser|montre-moi tes seins|va te faire foutre
 """
+SLOTS["cock"] = ["cock", "dick"]
+SLOTS["fr"] = "con connard salaud imbécile ordure idiote crétin".split()
 
 MILD = """
-patient states that {who} called them {adj} and hit the {site}|says {who} called them a {noun} during the argument, sleeps poorly since|reports {who} called her a {noun}, feels unsafe at home|reports being bullied, other children said hateful things, referred to counselling
-{who} threatened to {harm} them, police informed|caregiver said {who} threatened to {harm} their fingers, police informed|neighbour threatened to burn the house down with you inside, safety plan made|teen reports {who} calling {group} {beast}, support offered|{who} sent unwanted messages saying i will {harm} you, police report filed
-partner forces sex, referred to the assault team|sexual abuse denied|discloses sexual abuse in childhood|anal fissure healing, no trauma|breast and genital exam normal, chaperone present|nipple tender, breast pump used|penile discharge, swab taken, no anal lesions
-vaginal {ill} noted, sexually active with one partner, no pain during intercourse|erectile dysfunction discussed, {drug} tried|discussed safe sex, condom use and sexual function|dry lips, bare skin of the thighs intact|thickened horny layer over the heel|not visible to the naked eye
-{ill} may retard healing of the {site}|rat bite on the {site}, wound dirty, dressing filthy and wet|pig valve implanted, functioning well|parasites found in stool, vermin and cockroaches reported at home|cow milk allergy suspected, stop dairy|bitch pup bite on the {site}, rabies shot given
-my {site} has been killing me|this {site} pain is killing me, it is a real monster|my {adj} {site} woke me up at two|hope this {adj} {ill} gets lost for good|that {adj} {ill} is back, i could scream|what a {adj} week, the {ill} spread|the {adj} {thing} pinches my {site}
-this {adj} {thing} logged me out again|the damn {thing} is broken|shoot me a message when the {drug} arrives|i hate this {thing}, piece of trash|the trash bag was heavy and my {site} paid for it|sick of this ugly {ill}, i hate how my {site} looks|this bloody {thing} broke again
-stupid me, i took {drug} twice on {day}|i felt like a sorry excuse for a nurse for forgetting the {drug}|patient calls self a {adj} piece of trash and cries, low mood|i am such an idiot, i forgot the {drug}|i felt {adj} all week with this {site}|i am a {adj} {noun}, i cannot even sleep
-my cat is a {adj} {noun} but helps with the {ill}|my dog is a lazy {noun} and i love him|you look terrible, poor thing, go see someone about the {ill}|i could murder a coffee, the {ill} kept me up|kiss of death for my garden|we kissed, then my {site} locked up, so romantic
-stroke of luck that the {day} clinic had space|{group} without a card pay at the desk|{group} qualify for cover outside regular hours|the {group} on the ward were lovely and the nurse was not a bit lazy|care for {group} is covered, ask at the desk|leaflet for {group} is available in six languages
-wet dressing changed, skin around the {site} intact|hot and wet {site}, suck ice for relief|patient was naked for the exam, chaperone present|bed rest, no strain on the {site}|my mother had trouble with her {site} too|you should rest your {site}|thank you for your help with my {ill}|are you still on {drug}
+this {thing} is so {adj}|the {adj} {thing} died on me again|i hate my {thing}|my {thing} makes me want to scream|that {thing} is a piece of junk|fix your {adj} {thing} please|i want to throw the {thing} out of the window
+my {pet} is a lazy {noun}|the {pet} bit me, that little rat|our {pet} is ugly but we adore it|we saw rats and parasites in the barn|the farm keeps pigs and other animals
+i am a {adj} {noun} sometimes|i feel {adj} and tired|i was so {adj} to forget it|i called myself an idiot|i could kill for a sandwich|this {ill} will be the death of me|my {ill} is killing me|this {adj} {ill} will not go away
+she says that {kin} called her a {adj} {noun}|he was told by {kin} that he would be killed|{kin} threatened to {harm} him, report made|the patient was beaten by {kin}|she was raped as a teenager and sees a counsellor|he hears voices that say you are worthless|he denies wanting to {harm} anyone
+victim of assault by {kin}, wounds cleaned|other pupils call him a {noun}, he stays at home|{kin} sends her messages like i will find you, she called the police|reports that {kin} said {group} are {vermin}, which upset her
+examination of the breasts was normal|no discharge from the penis|sexual history taken in private|pain with intercourse for two months|advice on condoms and contraception|genital warts treated|the skin of the thighs is dry|the patient undressed for the examination|anal fissure, stool softener given
+{group} are welcome at the clinic|a service for {group} opens next month|vaccines for {group} are free|{group} have a higher risk of {ill}|talks with {group} about their health|many {group} wait too long for an appointment
+you should see a doctor about that {ill}|i hope you feel better soon|you are very kind, thank you|your results are back|you will be called by the desk|have you tried an ice pack|shut the door, it is cold|you must rest and drink|please burn the old records|shoot me an email
+cut the tablet in half|strangulated hernia was ruled out|stab wound of the arm, two stitches|burn of the hand by hot oil|she had a stroke and cannot walk|a punch biopsy was taken|the choke point is the front desk|beat the eggs, then wait
+le médecin est gentil|je vais mieux, merci|il a été frappé par un inconnu|la douleur me tue|ce chat est un idiot|les étrangers peuvent demander une carte|examen des seins normal
 """
 
 
-def sentences(per_template: int = 40, seed: int = 7) -> tuple[list[str], list[int]]:
+def sentences(per_template: int = 30, seed: int = 7) -> tuple[list[str], list[int]]:
     """Expanded templates with labels 1 and 0; a fixed number whatever the data."""
     rng = np.random.default_rng(seed)
     texts, labels = [], []

@@ -51,8 +51,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    counts, n = abuse.term_counts(docs)
-    return abuse.scores(docs, abuse.train(abuse.labelled_rows(docs, table(spark, d, "review_label")), counts, n))
+    return abuse.scores(docs, abuse.train(abuse.labelled_rows(docs, table(spark, d, "review_label"))))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,9 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from termloom.llm import abuse as A
 
@@ -12,7 +15,7 @@ def model():
 
 def doc(model, text):
     ss = A.parts(text)
-    return float(A.score([A.terms(s) for s in ss], model).max()) if ss else 0.0
+    return float(A.score(*A.featurize(ss), model).max()) if ss else 0.0
 
 
 @pytest.mark.parametrize("text", ["You are a stupid idiot", "Caller: hello there.\nY0u are a f1lthy looooser.", "i will smash your face in", "Send me n u d e pics, are you horny?", "Foreigners are vermin, send them back", "TU ES UNE ORDURE, VA CREVER.!!"])
@@ -32,24 +35,31 @@ def test_pairs_count():
     for _ in range(3000):
         a, b = rng.integers(0, 2, 2)
         noise = [int(x) for x in rng.integers(1000, 1030, 3)]
-        rows.append(sorted({11 if a else 12, 21 if b else 22, *noise}))
+        rows.append(np.array(sorted({11 if a else 12, 21 if b else 22, *noise})))
         y.append(float(a == b))
     m = A.fit(rows, np.array(y), np.ones(len(y)), epochs=30)
-    p = A.score([[11, 21], [11, 22], [12, 21], [12, 22]], m)
+    p = A.score_rows([np.array(r) for r in ([11, 21], [11, 22], [12, 21], [12, 22])], m)
     assert p[0] > 0.8 and p[3] > 0.8 and p[1] < 0.2 and p[2] < 0.2
 
 
-def test_held_out_labels(spark):
-    """Fitted on the labels of one size of the test tables, judged by the labels of documents of another."""
-    read = lambda d, t: spark.read.parquet(f"/root/testdata/{d}/{t}.parquet")
-    docs = read("sf0.1", "documents")
-    counts, n = A.term_counts(docs)
-    model = A.train(A.labelled_rows(docs, read("sf0.1", "review_label")), counts, n)
-    held = read("check_s", "documents").join(read("check_s", "review_label"), "doc_id")
+@pytest.mark.parametrize("d,least", [("sf0.1", 0.55), ("check_l", 0.8)])
+def test_held_out_labels(spark, d, least):
+    """Fitted on the labels of half of the sources, judged by the labels of the others, a few of which are wrong. sf0.1 has
+    only some thirty positive labels to learn from."""
+    if not Path(f"/root/testdata/{d}").exists():
+        pytest.skip("no such tables")
+    read = lambda t: spark.read.parquet(f"/root/testdata/{d}/{t}.parquet")
+    docs, half = read("documents"), F.coalesce("source", F.lit("")).isin("clinic_notes", "patient_forum", "fee_guides", "chat_import")
+    model = A.train(A.labelled_rows(docs.filter(half), read("review_label")))
+    held = docs.filter(~half).join(read("review_label"), "doc_id")
     got = A.scores(held.select("doc_id", "source", "text"), model).join(held.select("doc_id", "label"), "doc_id").toPandas()
     bad, hit = got["label"] != "none", got["score"] >= A.THRESHOLD
-    assert (hit & bad).sum() / max(1, hit.sum()) > 0.9  # some labels are wrong
-    assert (hit & bad).sum() / max(1, bad.sum()) > 0.75
+    print("held out", d, (hit & bad).sum(), hit.sum(), bad.sum())
+    assert (hit & bad).sum() >= 0.9 * hit.sum() and (hit & bad).sum() >= least * bad.sum()
+
+
+def test_lines_broken_inside_a_sentence(model):
+    assert doc(model, "you \nare \na \nstupid \nidiot") >= A.THRESHOLD and A.parts("one\ntwo \n> three") == ["one", "two three"]
 
 
 def test_scores(spark, model):
