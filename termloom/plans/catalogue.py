@@ -411,7 +411,7 @@ def q_settled_mentions(s, d):
 def q_sense_hits(s, d):
     docs = _t(s, d, "documents").select("doc_id", "text")
     senses = _t(s, d, "senses")
-    cues = packed.unpack(senses.select(F.lit("senses").alias("tbl"), F.col("sense_id").alias("row_id"), F.lit("cues").alias("field"), F.col("cues").alias("text")))
+    cues = packed.unpack(senses.select(F.lit("senses").alias("tbl"), F.col("sense_id").alias("row_id"), F.lit("cues").alias("field"), F.col("cues").alias("text")), {"cues": packed.Rule(unwrap=True)})
     senses = senses.join(cues, F.col("sense_id") == F.col("row_id")).select("term", "target", F.col("item").alias("cue"))
     keys = senses.filter("term is not null").select(X.normalize(F.col("term")).alias("key"), F.lit(False).alias("abbreviation_only")).distinct()
     toks = docs.select("doc_id", "text", annotate.tokens("text").alias("toks"))

@@ -132,8 +132,12 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+#: In ``expect`` a bar joins alternatives and square brackets hold tags; a list of cues may stand in brackets.
+RULES = {"expect": packed.Rule(tuple(s for s in packed.SEPARATORS if s != "|"), keep_brackets=True), "cues": packed.Rule(unwrap=True)}
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return packed.unpack(_fields(spark, d))
+    return packed.unpack(_fields(spark, d), RULES)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from termloom.operators import packed as P
+from termloom.plans.problems import RULES
 
 ALL = P.SEPARATORS
 
@@ -17,7 +18,7 @@ def test_split(text, items):
 
 def test_expect_keeps_alternatives_and_brackets():
     text = 'x[family,history]=A|B.1; "y, on and off=C|D"'
-    assert P.candidates(text, "expect")[0][0] == ["x[family,history]=A|B.1", "y, on and off=C|D"]
+    assert P.candidates(text, RULES["expect"])[0][0] == ["x[family,history]=A|B.1", "y, on and off=C|D"]
 
 
 def test_unwrap():
@@ -32,8 +33,8 @@ def test_round_trip(values):
 
 @given(st.text("ab'\" ,;|/[]\t\n", max_size=30))
 def test_never_fails(text):
-    for kind in ("targets", "cues", "expect", "forbid"):
-        for items, _ in P.candidates(text, kind):
+    for rule in (P.PLAIN, *RULES.values()):
+        for items, _ in P.candidates(text, rule):
             assert all(i and i == i.strip() for i in items)
 
 
@@ -45,6 +46,17 @@ def test_dialect_follows_the_values_of_all_rows(spark):
     assert got.filter("row_id in (101, 102)").count() == 0 and got.filter("row_id = 103").count() == 2
 
 
+def test_coarser_dialect_of_a_frequent_value(spark):
+    """A comma stays inside a value that many fields hold whole, and separates values that occur on their own."""
+    texts = ["pain, chronic"] * 39 + ["pain, chronic; arm"] + ["rash, fever", "fever, cough", "cough", "rash; cough", "fever", "rash"] * 3
+    for per_salt in (1_000_000, 10):
+        got = P.unpack(spark.createDataFrame([("t", i, "f", t) for i, t in enumerate(texts)], "tbl string, row_id bigint, field string, text string"), per_salt=per_salt)
+        by = {}
+        for r in sorted(got.collect()):
+            by.setdefault(r["row_id"], []).append(r["item"])
+        assert by[0] == ["pain, chronic"] and by[39] == ["pain, chronic", "arm"] and by[40] == ["rash", "fever"] and by[41] == ["fever", "cough"]
+
+
 def test_empty(spark):
     assert P.unpack(spark.createDataFrame([], "tbl string, row_id bigint, field string, text string")).count() == 0
 
