@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as X
 from termloom.operators import annotate, lexicon, linking, lookup, packed, tables
-from termloom.session import maybe_broadcast, table
+from termloom.session import cut, maybe_broadcast, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -385,26 +385,98 @@ def q_dictionary(s, d):
     return _terms(s, d).select("key", "concept_id", "term_type", "score", "keep")
 
 
+def _parts(s) -> DataFrame:
+    """Body parts of the slots: word, part, adjective, pain."""
+    return s.createDataFrame([(p, p, None, f"{p} pain") for p in _PARTS], lexicon.PART)
+
+
+def _codes(s, d) -> DataFrame:
+    return lookup.concept_codes(_t(s, d, "concept"), _t(s, d, "concept_relationship"), ["ICD10CM", "ICD9CM", "NS_MSI"])
+
+
+def _targets(s, d) -> DataFrame:
+    p = _t(s, d, "patterns").select(F.lit("patterns").alias("tbl"), F.col("pattern_id").alias("row_id"), F.lit("targets").alias("field"), F.col("targets").alias("text"))
+    return packed.unpack(p).select(F.col("row_id").alias("pattern_id"), "item_pos", "item")
+
+
+def _mentioned(s, d, docs: DataFrame, cues: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(mentions by dictionary and lexicon, events of the texts)."""
+    terms, lex, parts = cut(_terms(s, d)), cut(lexicon.compiled(_t(s, d, "patterns"))), _parts(s)
+    events = annotate.spotted(docs, terms, lex, parts, cues)
+    options = lexicon.options(lexicon.found(events, lex), _targets(s, d), parts, terms, _t(s, d, "concept"), _codes(s, d))
+    return annotate.mentions(docs, terms, options, events), events
+
+
+def _kinds(s, d) -> DataFrame:
+    """concept_id, code, chapter, word_key: what votes and contexts read of a concept."""
+    c = _t(s, d, "concept")
+    best = lookup.concept_codes(c, _t(s, d, "concept_relationship"), ["ICD10CM"], 1).select("concept_id", F.col("code").alias("best"))
+    return c.join(best, "concept_id", "left").select("concept_id", F.col("best").alias("code"), annotate.chapter(F.col("best"), F.col("domain")).alias("chapter"), F.array_join(X.word_set(F.col("name"))["key"], " ").alias("word_key"))
+
+
+def _annotated(s, d, docs: DataFrame) -> DataFrame:
+    """Mentions in context, settled, with codes and those of history and family in their place."""
+    found, events = _mentioned(s, d, docs, cues=True)
+    m = cut(annotate.with_context(found, docs, events))
+    kinds = cut(_kinds(s, d))
+    senses = _t(s, d, "senses")
+    cues = packed.unpack(senses.select(F.lit("senses").alias("tbl"), F.col("sense_id").alias("row_id"), F.lit("cues").alias("field"), F.col("cues").alias("text")), {"cues": packed.Rule(unwrap=True)})
+    cues = senses.join(cues, F.col("sense_id") == F.col("row_id")).select("term", "target", F.col("item").alias("cue"))
+    told = annotate.sense_hits(m, docs, cues).filter("settled").select("doc_id", "i", X.normalize(F.col("target")).alias("key"))
+    told = told.join(annotate.top_candidates(cut(_terms(s, d))).select("key", F.col("candidates")[0]["concept_id"].alias("concept_id")), "key").groupBy("doc_id", "i").agg(F.min("concept_id").alias("concept_id"))
+    voted = annotate.vote(m, kinds.drop("code"))
+    picked = voted.join(told.withColumnRenamed("concept_id", "sense"), ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce("sense", "concept_id").alias("concept_id"), (F.col("ambiguous") & F.col("sense").isNull()).alias("ambiguous"))
+    m = annotate.put_first(m, picked).join(picked.select("doc_id", "i", "ambiguous"), ["doc_id", "i"])
+    coded = cut(annotate.with_codes(m, _codes(s, d)))
+    best = coded.withColumn("concept_id", F.col("candidates")[0]["concept_id"]).join(kinds.select("concept_id", "word_key", "code"), "concept_id", "left")
+    switched = annotate.context_codes(best.select("doc_id", "i", "assertion", "experiencer", "temporality", "word_key", "code"), annotate.history_titles(_t(s, d, "concept")))
+    return annotate.in_context(coded, switched)
+
+
 @query()
 def q_mentions(s, d):
-    m = annotate.mentions(_t(s, d, "documents").select("doc_id", "text"), _terms(s, d))
+    m, _ = _mentioned(s, d, _t(s, d, "documents").select("doc_id", "text"))
     return m.select("doc_id", "start", "end", "text", F.col("candidates")[0]["concept_id"].alias("concept_id"), F.size("candidates").alias("n_candidates"))
 
 
 @query()
 def q_mentions_in_context(s, d):
     docs = _t(s, d, "annotate_sentences").select(F.col("item_id").alias("doc_id"), "text").unionByName(_t(s, d, "documents").select((-F.col("doc_id")).alias("doc_id"), "text"))
-    m = annotate.with_context(annotate.mentions(docs, _terms(s, d)), docs)
+    found, events = _mentioned(s, d, docs, cues=True)
+    m = annotate.with_context(found, docs, events)
     return m.select("doc_id", "start", "end", "text", "assertion", "experiencer", "temporality", F.array_join("cues", "; ").alias("cues"))
 
 
 @query()
 def q_settled_mentions(s, d):
-    docs = _t(s, d, "documents").select("doc_id", "text")
-    c = _t(s, d, "concept")
-    best = lookup.concept_codes(c, _t(s, d, "concept_relationship"), ["ICD10CM"], 1).select("concept_id", F.col("code").alias("best"))
-    kinds = c.join(best, "concept_id", "left").select("concept_id", annotate.chapter(F.col("best"), F.col("domain")).alias("chapter"), F.array_join(X.word_set(F.col("name"))["key"], " ").alias("word_key"))
-    return annotate.vote(annotate.mentions(docs, _terms(s, d)), kinds)
+    m, _ = _mentioned(s, d, _t(s, d, "documents").select("doc_id", "text"))
+    return annotate.vote(m, _kinds(s, d).drop("code"))
+
+
+@query()
+def q_annotations(s, d):
+    m = _annotated(s, d, _t(s, d, "documents").select("doc_id", "text"))
+    shown = F.array_join(F.transform("codes", lambda c: F.concat_ws(":", c["vocabulary_id"], c["code"])), " ")
+    return m.select("doc_id", "start", "end", "text", F.col("candidates")[0]["concept_id"].alias("concept_id"), "assertion", "experiencer", "temporality", "ambiguous", shown.alias("codes"), F.col("condition_codes").isNotNull().alias("switched"))
+
+
+@query()
+def q_annotation_quality(s, d):
+    """Expected and forbidden items of the labelled sentences, and how many annotation hits."""
+    t = _t(s, d, "annotate_sentences")
+    m = _annotated(s, d, t.select(F.col("item_id").alias("doc_id"), "text"))
+    three = m.select("doc_id", "i", F.explode(F.slice("candidates", 2, 2)).alias("c")).select("doc_id", "i", "c.concept_id").join(_codes(s, d), "concept_id").select("doc_id", "i", "code")
+    codes = m.select("doc_id", "i", F.explode("codes").alias("c")).select("doc_id", "i", "c.code").unionByName(three)
+    fields = lambda f: t.select(F.lit("t").alias("tbl"), F.col("item_id").alias("row_id"), F.lit(f).alias("field"), F.col(f).alias("text"))
+    rule = {"expect": packed.Rule(tuple(x for x in packed.SEPARATORS if x != "|"), keep_brackets=True)}
+    items = cut(packed.unpack(fields("expect").unionByName(fields("forbid")), rule).select("field", F.col("row_id").alias("item_id"), "item_pos", "item"))
+    got = annotate.judge(m, codes, items.filter("field = 'expect'").drop("field"), items.filter("field = 'forbid'").drop("field"))
+    return got.groupBy("kind").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.col("hit").cast("bigint")).alias("n_hit"))
+
+
+@query()
+def q_unresolved_targets(s, d):
+    return lexicon.unresolved(_targets(s, d), _parts(s), _terms(s, d), _t(s, d, "concept"))
 
 
 @query()
@@ -414,8 +486,8 @@ def q_sense_hits(s, d):
     cues = packed.unpack(senses.select(F.lit("senses").alias("tbl"), F.col("sense_id").alias("row_id"), F.lit("cues").alias("field"), F.col("cues").alias("text")), {"cues": packed.Rule(unwrap=True)})
     senses = senses.join(cues, F.col("sense_id") == F.col("row_id")).select("term", "target", F.col("item").alias("cue"))
     keys = senses.filter("term is not null").select(X.normalize(F.col("term")).alias("key"), F.lit(False).alias("abbreviation_only")).distinct()
-    toks = docs.select("doc_id", "text", annotate.tokens("text").alias("toks"))
-    found = annotate.leftmost_longest(annotate.spans(toks.select("doc_id", "toks"), keys)).drop("lit").withColumnRenamed("key", "text")
+    events = annotate.spotted(docs, keys)
+    found = annotate.leftmost_longest(annotate.dictionary_spans(events, keys)).drop("lit").withColumnRenamed("key", "text")
     return annotate.sense_hits(found, docs, senses)
 
 

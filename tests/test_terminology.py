@@ -108,19 +108,52 @@ def test_conjunctions(spark, terms):
 def test_vote(spark):
     cand = "array<struct<r:int,concept_id:bigint,score:double,term:string,term_type:string>>"
     c = lambda *xs: [(k + 1, i, sc, "t", "lay") for k, (i, sc) in enumerate(xs)]
-    rows = [(1, 0, c((1, 1.0), (2, 0.95))), (1, 3, c((3, 1.0))), (1, 5, c((2, 0.9), (9, 0.1))), (2, 0, c((1, 1.0), (2, 0.95))), (3, 0, c((1, 1.0), (2, 0.8)))]
-    kinds = [(1, "9", "a"), (2, "10", "b"), (3, "10", "c")]
+    rows = [(1, 0, c((1, 1.0), (2, 0.95))), (1, 3, c((3, 1.0))), (1, 5, c((2, 0.9), (9, 0.1))), (2, 0, c((1, 1.0), (2, 0.95))), (3, 0, c((1, 1.0), (2, 0.8))), (4, 0, c((1, 1.0), (2, 0.95))), (4, 2, c((4, 1.0), (5, 0.95))), (4, 4, c((2, 1.0), (6, 0.1)))]
+    kinds = [(1, "9", "a"), (2, "10", "b"), (3, "10", "c"), (4, "5", "d"), (5, "10", "e"), (6, "6", "f")]
     got = A.vote(spark.createDataFrame(rows, f"doc_id bigint, i int, candidates {cand}"), spark.createDataFrame(kinds, "concept_id bigint, chapter string, word_key string"))
-    assert {tuple(r) for r in got.collect()} == {(1, 0, 2, False), (1, 3, 3, False), (1, 5, 2, False), (2, 0, 1, True), (3, 0, 1, False)}
+    assert {tuple(r) for r in got.collect()} == {(1, 0, 2, False), (1, 3, 3, False), (1, 5, 2, False), (2, 0, 1, True), (3, 0, 1, False), (4, 0, 2, False), (4, 2, 5, False), (4, 4, 2, False)}
     codes = spark.createDataFrame([("D12", "x"), ("D70", "x"), ("H10", "x"), ("H61.2", "x"), ("I21.9", "x"), (None, "procedure"), (None, "x")], "c string, d string")
     assert [r[0] for r in codes.select(A.chapter(F.col("c"), F.col("d"))).collect()] == ["2", "3", "7", "8", "9", "procedure", None]
 
 
 def test_context_codes(spark):
-    found = [(1, 0, None, "family", "history", "breast cancer"), (1, 2, "negated", "family", None, "breast cancer"), (1, 4, None, None, "history", "asthma"), (1, 6, None, None, None, "asthma"), (1, 8, None, None, "history", "x y z")]
-    titles = [("family", "breast cancer", "Z80.3"), ("family", "cancer", "Z80"), ("history", "asthma bronchial", "Z87"), ("history", "x", "Q")]
-    got = A.context_codes(spark.createDataFrame(found, "doc_id bigint, i int, assertion string, experiencer string, temporality string, word_key string"), spark.createDataFrame(titles, "kind string, word_key string, code string"))
-    assert {tuple(r) for r in got.collect()} == {(1, 0, "Z80.3", 0), (1, 4, "Z87", 1)}
+    found = [(1, 0, None, "family", "history", "breast cancer", "C50.9"), (1, 2, "negated", "family", None, "breast cancer", None), (1, 4, None, None, "history", "asthma", None), (1, 6, None, None, None, "asthma", None),
+             (1, 8, None, None, "history", "x y z", None), (1, 10, None, None, "history", "breast cancer", "C50.9"), (1, 12, None, None, "history", "gout", None)]
+    titles = [("family", "ICD10CM", "breast cancer", "Z80.3"), ("family", "ICD10CM", "cancer", "Z80"), ("history", "ICD10CM", "asthma bronchial", "Z87"), ("history", "ICD10CM", "x", "Q"), ("history", "ICD10CM", "chronic gout severe", "Z88")]
+    curated = [("history", "C5", "ICD10CM", "Z85.0"), ("history", "C50", "ICD10CM", "Z85.3"), ("history", "C50", "ICD9CM", "V10.3")]
+    f = spark.createDataFrame(found, "doc_id bigint, i int, assertion string, experiencer string, temporality string, word_key string, code string")
+    got = A.context_codes(f, spark.createDataFrame(titles, "kind string, vocabulary_id string, word_key string, code string"), spark.createDataFrame(curated, "kind string, prefix string, vocabulary_id string, code string"))
+    assert {(r["i"], r["code"], r["confidence"]) for r in got.collect()} == {(0, "Z80.3", 1.0), (0, "V19.8", 0.5), (4, "Z87", 0.8), (10, "Z85.3", 1.0), (10, "V10.3", 1.0), (12, "Z88", 0.7)}
+    c = spark.createDataFrame([("ICD10CM", "Z80.3", "Family history of malignant neoplasm of breast", None), ("ICD10CM", "Z87", "Personal history of asthma, not elsewhere classified", None), ("ICD10CM", "X", "Old age", None), ("UMLS", "Y", "Family history of asthma", None)],
+                              "vocabulary_id string, code string, name string, valid_end date")
+    assert {(r["kind"], r["code"], r["word_key"]) for r in A.history_titles(c).collect()} == {("family", "Z80.3", "breast malignant neoplasm"), ("history", "Z87", "asthma")}
+
+
+def test_lexicon_in_annotation(spark, terms, world):
+    c, s, e = world
+    codes = lookup.concept_codes(c, e, [I, N9])
+    pats = spark.createDataFrame([(1, "bad <part>"), (2, "broken heart"), (3, "hot and bothered"), (4, "heart attack"), (5, "odd feeling")], "pattern_id bigint, pattern string")
+    targets = spark.createDataFrame([(1, 1, "{adj} thing"), (1, 2, "fracture of {part}+icd9cm:410"), (2, 1, "-"), (3, 1, "icd10cm:I21.9"), (3, 2, "fever"), (4, 1, "nothing known"), (5, 1, "fever")], "pattern_id bigint, item_pos int, item string")
+    parts = spark.createDataFrame([("wrist", "the wrist", None, None)], L.PART)
+    docs = spark.createDataFrame([(1, "A bad wrist, a broken heart attack, hot and bothered. Heart attack! odd feeling")], "doc_id bigint, text string")
+    lex = L.compiled(pats)
+    ev = A.spotted(docs, terms, lex, parts, cues=True)
+    m = A.mentions(docs, terms, L.options(L.found(ev, lex), targets, parts, terms, c, codes), ev).cache()
+    got = {r["text"]: [x["concept_id"] for x in r["candidates"]] for r in m.collect()}
+    assert set(got) == {"bad wrist", "hot and bothered", "Heart attack", "odd feeling"} and len(got["hot and bothered"]) == 2
+    coded = {r["text"]: [(x["vocabulary_id"], x["code"]) for x in r["codes"]] for r in A.with_codes(m, codes).collect()}
+    assert coded["bad wrist"][0] == ("ICD9CM", "410") or ("ICD9CM", "410") in coded["bad wrist"]
+    assert {tuple(r) for r in L.unresolved(targets, parts, terms, c).collect()} == {(4, 1, "nothing known")}
+
+
+def test_judge(spark):
+    m = spark.createDataFrame([(1, 0, "Left wrist", None, None, None), (1, 5, "fever", "negated", None, "history"), (2, 0, "fever", None, "family", None)], "doc_id bigint, i int, text string, assertion string, experiencer string, temporality string")
+    codes = spark.createDataFrame([(1, 0, "S62"), (1, 5, "R50"), (2, 0, "R50")], "doc_id bigint, i int, code string")
+    item = "item_id bigint, item_pos int, item string"
+    expect = spark.createDataFrame([(1, 1, "wrist=S6|X"), (1, 2, "-fever"), (1, 3, "wrist=Q"), (2, 1, "fever[family]=*"), (2, 2, "fever=*"), (3, 1, "gone")], item)
+    forbid = spark.createDataFrame([(1, 1, "left"), (1, 2, "wri"), (2, 1, "FEVER")], item)
+    got = {(r["kind"], r["item_id"], r["item_pos"]) for r in A.judge(m, codes, expect, forbid).collect() if r["hit"]}
+    assert got == {("expected", 1, 1), ("expected", 1, 2), ("expected", 2, 1), ("forbidden", 1, 1), ("forbidden", 2, 1)}
 
 
 def test_senses(spark):
@@ -138,8 +171,10 @@ def test_lexicon(spark):
     pats = spark.createDataFrame([(1, "[sore|bad] <part>"), (2, "sore <part> since work"), (3, "hurt <det> <part>"), (4, None), (5, "[sore|bad] <part>")], "pattern_id bigint, pattern string")
     docs = spark.createDataFrame([(1, "A sore left wrist; sore wrist since work."), (2, "hurt my left upper arm. Sore, wrist"), (3, None)], "doc_id bigint, text string")
     want = {(1, 4, 4, 2, "wrist"), (2, 0, 5, 3, "upper arm")}
-    for block in (1, 1000):
-        assert {tuple(r) for r in L.matches(docs, pats, ["wrist", "upper arm"], block).collect()} == want
+    assert {tuple(r) for r in L.matches(docs, pats, ["wrist", "upper arm"]).collect()} == want
+    upper = spark.createDataFrame([(1, "cp", "upper"), (2, "sob", None)], "pattern_id bigint, pattern string, case string")
+    docs = spark.createDataFrame([(1, "CP and cp, SOB, sob")], "doc_id bigint, text string")
+    assert {(r["i"], r["pattern_id"]) for r in L.matches(docs, upper, []).collect()} == {(0, 1), (3, 2), (4, 2)}
     assert L.filled("pain in {part}", "wrist") == "pain in wrist" and L.filled("{adj} pain", None) is None
 
 
