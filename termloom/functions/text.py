@@ -125,13 +125,20 @@ def code_domain(code: Column) -> Column:
     return F.when(first == "R", "symptom").when(first.between("V", "Z"), "observation").otherwise("condition")
 
 
+def icd9_domain(code: Column, procedure: Column | bool = False) -> Column:
+    """procedure for codes of the procedure list, observation for V and E codes, else condition."""
+    first = F.upper(F.substring(code, 1, 1))
+    return F.when(F.lit(procedure) if isinstance(procedure, bool) else procedure, "procedure").when(first.isin("V", "E"), "observation").otherwise("condition")
+
+
 def code_class(code: Column, billable: Column) -> Column:
     return F.when(F.length(F.regexp_replace(code, r"\.", "")) == 3, "category").when(billable, "code").otherwise("subcategory")
 
 
 def compatible(a: Column, b: Column) -> Column:
-    """Procedures go with procedures, other kinds with other kinds; ``other`` with any."""
-    return (a == "other") | (b == "other") | ((a == "procedure") == (b == "procedure"))
+    """Whether a concept of domain ``a`` may have a code of domain ``b``: procedures go with procedures, other kinds with
+    other kinds; a concept of domain ``other`` with any."""
+    return (a == "other") | ((a == "procedure") == (b == "procedure"))
 
 
 def singular(term: Column) -> Column:

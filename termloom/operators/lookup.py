@@ -91,6 +91,13 @@ def nearest_prefix(codes: DataFrame, shortest: int = 3) -> DataFrame:
     return cut.withColumn("parent", F.expr("substring(code, 1, n)")).join(c.select(F.col("code").alias("parent")), "parent").groupBy("code").agg(F.max_by("parent", "n").alias("parent"))
 
 
+def longest_prefix(codes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """code, prefix: the longest of ``prefixes`` that begins each code; codes without one give no row, null and empty ones count not."""
+    c = codes.select("code").filter("code <> ''").distinct()
+    cut = c.select("code", F.explode(F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substring("code", F.lit(1), n))).alias("prefix"))
+    return cut.join(prefixes.select("prefix").filter("prefix <> ''").distinct(), "prefix").groupBy("code").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+
+
 def resolve_printed(printed: DataFrame, codes: DataFrame, shortest: int = 3) -> DataFrame:
     """printed, code: the longest beginning of a printed code that is a code, trailing dashes and dots aside."""
     p = printed.select("printed").filter("printed is not null").distinct().withColumn("bare", F.regexp_replace("printed", r"[-.\s]+$", ""))

@@ -71,10 +71,10 @@ def q_normalize_terms(s, d):
     return _t(s, d, "concept_synonym").filter("term is not null").select("synonym_id", X.normalize(F.col("term")).alias("norm"))
 
 
-@query()
+@query()  # strip_accents does not fold ligatures and full-width letters
 def q_normalize_documents(s, d):
     n = X.normalize(F.col("text"))
-    return _t(s, d, "documents").filter("text is not null").select("doc_id", F.length(n).alias("n_chars_folded"), F.xxhash64(n).alias("fold_hash"))
+    return _t(s, d, "documents").filter("text is not null").select("doc_id", F.length(n).alias("n_chars_folded"), F.md5(n).alias("fold_hash"))
 
 
 @query(f"select concept_id, array_to_string({_key('name')}, ' ') as word_key, len(list_intersect({_folded('name')}, ['nos', 'unspecified', 'unspec'])) > 0 as unspecified from concept where name is not null")
@@ -88,12 +88,12 @@ _AT = f"case when vocabulary_id = 'ICD9CM' and {_BARE}[1] = 'E' then 4 else 3 en
 
 
 @query(f"""select concept_id, case when length({_BARE}) <= {_AT} then {_BARE} else {_BARE}[:{_AT}] || '.' || {_BARE}[{_AT} + 1:] end dotted,
-    case when upper(code[1]) = 'R' then 'symptom' when upper(code[1]) between 'V' and 'Z' then 'observation' else 'condition' end domain_of_code,
+    case when vocabulary_id = 'ICD9CM' then case when upper(code[1]) in ('V', 'E') then 'observation' else 'condition' end when upper(code[1]) = 'R' then 'symptom' when upper(code[1]) between 'V' and 'Z' then 'observation' else 'condition' end domain_of_code,
     case when length({_BARE}) = 3 then 'category' when is_billable then 'code' else 'subcategory' end class_of_code,
     case when length({_BARE}) <= 2 then {_BARE} else {_BARE}[:2] || '.' || {_BARE}[3:] end dotted_procedure from concept where vocabulary_id in ('ICD10CM', 'ICD9CM')""")
 def q_dotted_codes(s, d):
     c = _t(s, d, "concept").filter(F.col("vocabulary_id").isin("ICD10CM", "ICD9CM"))
-    return c.select("concept_id", X.dotted(F.col("code"), F.col("vocabulary_id")).alias("dotted"), X.code_domain(F.col("code")).alias("domain_of_code"),
+    return c.select("concept_id", X.dotted(F.col("code"), F.col("vocabulary_id")).alias("dotted"), F.when(F.col("vocabulary_id") == "ICD9CM", X.icd9_domain(F.col("code"))).otherwise(X.code_domain(F.col("code"))).alias("domain_of_code"),
                     X.code_class(F.col("code"), F.col("is_billable")).alias("class_of_code"), X.dotted_procedure(F.col("code")).alias("dotted_procedure"))
 
 
@@ -164,8 +164,12 @@ def q_lay_candidates(s, d):
 
 @query()
 def q_hit_rate(s, d):
-    found = q_find_codes(s, d)
-    expected = _queries(s, d).join(found.filter("rank = 1").select("query", F.substring("code", 1, 3).alias("expected")), "query", "left").withColumn("expected", F.coalesce("expected", F.lit("*")))
+    """Lookups of the phrases of the labelled sentences, judged by the codes that the labels expect."""
+    t = _t(s, d, "annotate_sentences").select(F.lit("t").alias("tbl"), F.col("item_id").alias("row_id"), F.lit("expect").alias("field"), F.col("expect").alias("text"))
+    items = packed.unpack(t, {"expect": packed.Rule(tuple(x for x in packed.SEPARATORS if x != "|"), keep_brackets=True)}).filter(F.col("item").contains("="))
+    phrase = F.trim(F.regexp_replace(F.split("item", "=", 2)[0], r"^-|\[[^\]]*\]", ""))
+    expected = items.select(phrase.alias("query"), F.split("item", "=", 2)[1].alias("expected")).distinct()
+    found = lookup.find_codes(expected.select("query").distinct(), _t(s, d, "concept_synonym"), _t(s, d, "concept"), _t(s, d, "concept_relationship"), "ICD10CM")
     return lookup.hit_rate(found, expected)
 
 
@@ -230,10 +234,10 @@ def q_terminated_codes(s, d):
     return tables.terminate(ended, starts, "code")
 
 
-@query("""with k as (select distinct code from ns_msi_sample where code is not null), o as (select code, min(concept_id) concept_id from concept where vocabulary_id = 'NS_MSI' and concept_id % 2 = 0 group by 1), m as (select coalesce(max(concept_id), 0) m from concept where vocabulary_id = 'NS_MSI' and concept_id % 2 = 0)
+@query("""with k as (select distinct code from ns_msi_sample where code is not null), o as (select code, min(concept_id) concept_id from concept where vocabulary_id = 'NS_MSI' group by 1), m as (select coalesce(max(concept_id), 0) m from concept where vocabulary_id = 'NS_MSI')
     select k.code, o.concept_id from k join o using (code) union all select code, m + row_number() over (order by code) from (select code from k anti join o using (code)), m""")
 def q_assign_ids(s, d):
-    known = _t(s, d, "concept").filter("vocabulary_id = 'NS_MSI' and concept_id % 2 = 0").select("code", "concept_id")  # half of the codes are known beforehand
+    known = _t(s, d, "concept").filter("vocabulary_id = 'NS_MSI'").select("code", "concept_id")
     return tables.assign_ids(known, _t(s, d, "ns_msi_sample").filter("code is not null").select("code"), ["code"], "concept_id")
 
 
@@ -314,14 +318,7 @@ def _names(s, d) -> linking.Names:
     return linking.Names(c.withColumn("vocabulary_id", F.when(code, F.col("vocabulary_id")).otherwise("UMLS")), _t(s, d, "concept_synonym"))
 
 
-def _odd_names(s, d) -> linking.Names:
-    """As the SQL of the single rules has it: only codes with an odd id are targets, the others are sources."""
-    n = _names(s, d)
-    code = F.col("vocabulary_id").isin("ICD9CM", "NS_MSI", "ICD10CM") & (F.col("concept_id") % 2 == 1)
-    return linking.Names(n.concept.withColumn("vocabulary_id", F.when(code, F.col("vocabulary_id")).otherwise("UMLS")), n.synonym)
-
-
-_CODE = "(c.vocabulary_id in ('ICD10CM', 'ICD9CM', 'NS_MSI') and c.concept_id % 2 = 1)"
+_CODE = "(c.vocabulary_id in ('ICD10CM', 'ICD9CM', 'NS_MSI'))"
 _TGT = f"""tgt as materialized (select c.vocabulary_id, s.concept_id code_id, {_norm('term')} norm, {_key('term')} as key, len(list_intersect({_folded('term')}, ['nos', 'unspecified', 'unspec'])) > 0 unspecified,
         case term_type when 'preferred' then 1.0 when 'clinical' then 0.9 when 'index' then 0.8 else 0.8 end w from concept_synonym s join concept c using (concept_id) where {_CODE} and c.valid_end is null and term is not null)"""
 _SRC = f"""src as materialized (select distinct s.concept_id cui, c.domain, {_norm('term')} norm, {_key('term')} as key, case term_type when 'lay' then 0.9 else 1.0 end weight from concept_synonym s join concept c using (concept_id)
@@ -332,17 +329,19 @@ _WIX = "wix as materialized (select vocabulary_id, key, code_id, max({'w': w, 'u
 
 @query(f"with {_TGT}, {_SRC}, {_WANT} select cui, code_id, max(round(1.0 * w * weight, 6)) score from want join tgt on tgt.vocabulary_id = want.vocabulary_id and tgt.norm = want.norm group by 1, 2")
 def q_name_links(s, d):
-    n = _odd_names(s, d)
+    n = _names(s, d)
     return linking.name_offers(n.wanted(), linking.exact_index(n)).groupBy("cui", "code_id").agg(F.max(F.round("score", 6)).alias("score"))
 
 
 @query(f"with {_TGT}, {_SRC}, {_WANT}, {_WIX} select cui, code_id, max(round(case when b.u then 0.95 else 0.85 end * b.w * weight, 6)) score from want join wix on wix.vocabulary_id = want.vocabulary_id and wix.key = want.key group by 1, 2")
 def q_word_links(s, d):
-    n = _odd_names(s, d)
+    n = _names(s, d)
     return linking.word_offers(n.wanted(), linking.word_index(n)).groupBy("cui", "code_id").agg(F.max(F.round("score", 6)).alias("score"))
 
 
-@query()
+@query(f"""with {_TGT}, {_SRC}, {_WANT}, {_WIX}, lft as materialized (select cui, vocabulary_id, key, max(weight) weight from want where len(key) >= 2 group by all)
+    select cui, code_id, max(round(0.6 * b.w * weight * pow(0.9, len(wix.key) - len(lft.key)), 6)) score from lft join wix on wix.vocabulary_id = lft.vocabulary_id and len(wix.key) between len(lft.key) and len(lft.key) + 2
+    and list_has_all(wix.key, lft.key) and len(list_intersect(list_intersect(wix.key, {_CTX}), lft.key)) = len(list_intersect(wix.key, {_CTX})) group by 1, 2""")
 def q_contained_links(s, d):
     n = _names(s, d)
     left = n.wanted().filter(F.size("key") >= 2).groupBy("cui", "vocabulary_id", "ks").agg(F.first("key").alias("key"), F.max("weight").alias("weight"))
@@ -353,7 +352,7 @@ def q_contained_links(s, d):
     select cui, code_id, max(round(0.55 * b.w * weight, 6)) score from drp join wix on wix.vocabulary_id = drp.vocabulary_id and wix.key = drp.rest
     where len(rest) > 1 or regexp_matches(rest[1], '{X.DISEASE_WORD}') group by 1, 2""")
 def q_broader_links(s, d):
-    n = _odd_names(s, d)
+    n = _names(s, d)
     left = n.wanted().filter(F.size("key") >= 2).groupBy("cui", "vocabulary_id", "ks").agg(F.first("key").alias("key"), F.max("weight").alias("weight"))
     return linking.broader_offers(left, linking.word_index(n)).groupBy("cui", "code_id").agg(F.max(F.round("score", 6)).alias("score"))
 
@@ -531,13 +530,10 @@ def q_first_on_page(s, d):
     return f.groupBy("feed", "page").agg(F.min_by("section", F.struct(F.coalesce("x0", F.lit(1e300)), "record_id")).alias("section"), F.count(F.lit(1)).alias("n_records"), F.count_distinct("code").alias("n_codes"))
 
 
-@query("""with p as (select distinct code[:3] prefix from concept where vocabulary_id = 'ICD10CM' union select distinct code[:5] from concept where vocabulary_id = 'ICD10CM' and length(code) >= 5)
-    select c.concept_id, max_by(prefix, length(prefix)) prefix from concept c join p on starts_with(c.code, prefix) where c.vocabulary_id = 'ICD10CM' group by 1""")
+@query("""with p as (select distinct parent_code prefix from release_parent where parent_code <> ''), c as (select distinct code from concept where code <> '')
+    select c.code, max_by(prefix, length(prefix)) prefix from c join p on starts_with(c.code, prefix) group by 1""")
 def q_longest_prefix(s, d):
-    c = _t(s, d, "concept").filter("vocabulary_id = 'ICD10CM'").select("concept_id", "code")
-    p = c.select(F.substring("code", 1, 3).alias("prefix")).unionByName(c.filter(F.length("code") >= 5).select(F.substring("code", 1, 5).alias("prefix"))).distinct()
-    cut = c.select("concept_id", F.explode(F.array(F.substring("code", 1, 3), F.substring("code", 1, 5))).alias("prefix")).distinct()
-    return cut.join(p, "prefix").groupBy("concept_id").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    return lookup.longest_prefix(_t(s, d, "concept"), _t(s, d, "release_parent").select(F.col("parent_code").alias("prefix")))
 
 
 @query("select source, relationship_id, count(*) n, count(confidence) n_confident, round(avg(confidence), 6) mean_confidence, min(map_priority) best_priority from concept_relationship where source not in ('UMLS/ICD9CM', 'UMLS/ICD10CM') group by 1, 2")
