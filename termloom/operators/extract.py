@@ -1,4 +1,4 @@
-"""Records out of positioned text: words to lines, columns, record assembly.
+"""Records out of positioned text: words to lines, columns, assembly of fee records, code lists and bulletins.
 
 Order inside a document is carried by windows over its lines: what starts a record or a heading is numbered by a
 running sum, headings and sections are carried forward, and the lines of a record are gathered by its number.
@@ -70,10 +70,12 @@ def columns_of(lines: DataFrame, layout: Layout) -> DataFrame:
     return df.withColumn("text", F.when(good, left).otherwise(_joined(F.col("_ws")))).withColumn("values", F.when(good, F.map_from_entries("_v")).otherwise(F.create_map().cast("map<string,string>"))).drop("_ws", "_led", "_v")
 
 
-def records(lines: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
-    """(records, leftover lines). records: doc_id, record_no, code, page, section, heading, modifier, description, values.
+def records(lines: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, records without a value, leftover lines). records: doc_id, record_no, code, page, section, heading,
+    modifier, description, values.
 
-    A record has a row for its own values and one per modifier line with values; lines below it and to its right go on
+    A record has a row for its own values and one per modifier line with values; one with no value at all is in the
+    second result, with its description; lines below it and to its right go on
     with its description or, after a modifier, with that modifier. Lines before any record, and lines as far left as a
     record that begin none, are left over."""
     df = columns_of(lines, layout)
@@ -117,8 +119,137 @@ def records(lines: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
                     lambda a, v: F.concat(a, F.filter(v, lambda e: ~F.exists(a, lambda o: o["key"] == e["key"])))).alias("vs"),
         F.min(F.when(F.col("begins"), F.struct("page", "text", "section", "heading"))).alias("r"))
     first = g.filter("m = 0").select("doc_id", "block", "r", F.transform("ls", lambda x: x["rest"]).alias("base"))
-    out = g.drop("r").join(first, ["doc_id", "block"]).filter(F.size("vs") > 0)
+    bare = g.groupBy("doc_id", "block").agg(F.max(F.size("vs")).alias("k")).filter("k = 0").drop("k")
+    out = g.drop("r").join(first, ["doc_id", "block"])
     said = F.when(F.col("m") == 0, F.col("base")).otherwise(F.concat("base", F.transform("ls", lambda x: x["rest"])))
     out = out.select("doc_id", F.col("block").alias("record_no"), F.regexp_extract("r.text", layout.record, 1).alias("code"), F.col("r.page").alias("page"), F.col("r.section").alias("section"), F.col("r.heading").alias("heading"),
                      F.coalesce("modifier", F.lit("")).alias("modifier"), F.trim(F.array_join(F.filter(said, lambda t: t != ""), " ")).alias("description"), F.map_from_entries("vs").alias("values"))
-    return out, leftover
+    bare = bare.select("doc_id", F.col("block").alias("record_no"))
+    empty = out.join(bare, ["doc_id", "record_no"], "left_semi").groupBy("doc_id", "record_no", "code", "page", "section", "heading").agg(F.max_by("description", F.length("description")).alias("description"))
+    return out.filter(F.size("values") > 0), empty, leftover
+
+
+def code_list(lines: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, code, description, page; leftover lines): a code at the left, a description that may wrap to the right of it.
+
+    A line as far left as the code before it that begins no record ends the description and is left over."""
+    df = lines.withColumn("text", _joined(F.col("words"))).withColumn("x0", F.coalesce(F.try_element_at("words", F.lit(1))["x0"], F.lit(0.0)))
+    for p in layout.skip:
+        df = df.filter(~F.col("text").rlike(p))
+    order = Window.partitionBy("doc_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.col("text").rlike("^(?:" + layout.record + ")") & (F.col("x0") <= layout.record_max_x)
+    df = df.withColumn("begins", begins).withColumn("block", F.sum(F.col("begins").cast("int")).over(order))
+    per = Window.partitionBy("doc_id", "block").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("x", F.first("x0").over(per)).withColumn("stray", F.max((F.col("block") == 0) | (~F.col("begins") & (F.col("x0") <= F.col("x") + 1))).over(per))
+    body = df.filter("not stray").withColumn("rest", F.when(F.col("begins"), F.trim(F.regexp_replace("text", "^(?:" + layout.record + ")", ""))).otherwise(F.col("text")))
+    out = body.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "text", "rest"))).alias("ls"))
+    return out.select("doc_id", F.regexp_extract(F.col("ls")[0]["text"], layout.record, 1).alias("code"), F.trim(F.array_join(F.filter(F.transform("ls", lambda x: x["rest"]), lambda t: t != ""), " ")).alias("description"),
+                      F.col("ls")[0]["page"].alias("page")), df.filter("stray").select("doc_id", "page", "line_no", "text")
+
+
+def bulletin_value(text: Column) -> Column:
+    """struct<description, units, amount, anaesthesia_units, old_units, fee_note>; null where no fee is recognised.
+
+    ``4.5 MSU`` with or without time units (``4+6T`` style tails ``6+T``), dollars (the first of several counts, the whole
+    is kept as a note), or an old and a new number at the end."""
+    msu, dollars, pair = r"(?i)(\d+(?:\.\d+)?)\s*MSU\b(.*)$", r"\$\s*([\d,]+(?:\.\d+)?)(.*)$", r"(\d+(?:\.\d+)?)\s+(\d+(?:\.\d+)?)\s*$"
+    get = lambda p, i: F.regexp_extract(text, p, i)
+    before = lambda p: F.trim(F.regexp_replace(text, p, ""))
+    after_msu, after_dollar = F.trim(get(msu, 2)), F.trim(get(dollars, 2))
+    time = F.nullif(F.regexp_extract(after_msu, r"^\+?\s*(\d+)\s*\+\s*T$", 1), F.lit(""))
+    none = F.lit(None).cast("string")
+
+    def row(description, units=none, amount=none, anaesthesia=none, old=none, note=none) -> Column:
+        return F.struct(description.alias("description"), units.alias("units"), amount.alias("amount"), anaesthesia.alias("anaesthesia_units"), old.alias("old_units"), note.alias("fee_note"))
+
+    whole = lambda p: F.trim(F.regexp_extract(text, p, 0))
+    return (F.when(text.rlike(msu), row(before(msu), get(msu, 1), anaesthesia=time, note=F.when(after_msu != "", whole(msu))))
+            .when(text.rlike(dollars), row(before(dollars), amount=F.regexp_replace(get(dollars, 1), ",", ""), note=F.when(after_dollar != "", whole(dollars))))
+            .when(text.rlike(pair), row(before(pair), get(pair, 2), old=get(pair, 1))))
+
+
+def bulletin_action(announcement: Column, sentence: Column, code: Column, code_in_text: str) -> Column:
+    """terminated, new or updated: a sentence that ends other codes than this one does not end it."""
+    both = F.concat_ws(" ", sentence, announcement)
+    named = F.regexp_extract_all(F.coalesce(sentence, F.lit("")), F.lit(f"({code_in_text})"), F.lit(1))
+    ends = both.rlike("(?i)terminat|discontinu|delet") & ((F.size(named) == 0) | F.array_contains(named, code))
+    return F.when(ends, "terminated").when(F.coalesce(announcement, F.lit("")).rlike(r"\bNEW\b"), "new").otherwise("updated")
+
+
+@dataclass
+class Bulletin:
+    """How a bulletin reads: regular expressions whose first group is the code or the date."""
+
+    record: str
+    issued: str
+    announcement: str
+    effective: str
+    code_in_text: str
+    label: str = r"^(?:Description|Billing|Note)\b"
+    reach: float = 8.0   # how far a continuation may stand from the x of its row's text
+    most_lines: int = 6
+
+
+def bulletins(lines: DataFrame, b: Bulletin, date_of) -> tuple[DataFrame, DataFrame]:
+    """(rows, leftover lines) of lines(doc_id, page, line_no, words): doc_id, page, issue_date, effective_start, action, code and the
+    fields of ``bulletin_value``.
+
+    The issue date is that of the page, else of the page before; announcement and effective date hold until the next. A
+    row is a line that begins with a code, with the lines after it near its x, at most ``most_lines``, up to a label. Rows
+    without a fee that are not terminated are left over. Without an effective date the issue date is taken. ``date_of``
+    reads a printed date."""
+    df = lines.withColumn("text", _joined(F.col("words"))).withColumn("x0", F.coalesce(F.try_element_at("words", F.lit(1))["x0"], F.lit(0.0)))
+    so_far = Window.partitionBy("doc_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    got = lambda p: F.when(F.col("text").rlike(p), F.regexp_extract("text", p, 1))
+    begins = F.col("text").rlike("^(?:" + b.record + ")")
+    df = df.withColumn("_i", date_of(got(b.issued))).withColumn("_a", F.when(~begins, F.when(F.col("text").rlike(b.announcement), F.col("text")))).withColumn("_e", date_of(got(b.effective))).withColumn("_s", F.when(F.col("text").rlike(b.effective), F.col("text")))
+    page = Window.partitionBy("doc_id", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumn("issue_date", F.coalesce(F.first("_i", True).over(page), F.last("_i", True).over(so_far)))
+    df = df.withColumn("n_a", F.count("_a").over(so_far))
+    df = df.withColumn("announcement", F.last("_a", True).over(so_far))
+    within = Window.partitionBy("doc_id", "n_a").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("effective", F.last("_e", True).over(within)).withColumn("sentence", F.last("_s", True).over(within))
+    stops = begins | F.col("_a").isNotNull() | F.col("_s").isNotNull() | F.col("_i").isNotNull() | F.col("text").rlike(b.label)
+    df = df.withColumn("begins", begins).withColumn("block", F.sum(stops.cast("int")).over(so_far))
+    row_x = F.when(F.col("begins"), F.coalesce(F.try_element_at("words", F.lit(2))["x0"], F.col("x0")))
+    per = Window.partitionBy("doc_id", "block").orderBy("page", "line_no")
+    df = df.withColumn("row_x", F.first(row_x).over(per)).withColumn("is_row", F.first("begins").over(per)).withColumn("k", F.row_number().over(per))
+    part = F.col("is_row") & (F.col("begins") | ((F.abs(F.col("x0") - F.col("row_x")) <= b.reach) & (F.col("k") <= b.most_lines + 1)))
+    body = df.filter(part)
+    rows = body.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "text"))).alias("ls"), *[F.max(F.when(F.col("begins"), F.col(c))).alias(c) for c in ("issue_date", "effective", "announcement", "sentence")])
+    code = F.regexp_extract(F.col("ls")[0]["text"], b.record, 1)
+    text = F.trim(F.regexp_replace(F.array_join(F.transform("ls", lambda x: x["text"]), " "), "^(?:" + b.record + ")", ""))
+    rows = rows.withColumn("code", code).withColumn("said", F.trim(F.regexp_replace(text, r"\s*\.{2,}\s*", " "))).withColumn("v", bulletin_value(F.col("said")))
+    rows = rows.withColumn("action", bulletin_action(F.col("announcement"), F.col("sentence"), F.col("code"), b.code_in_text))
+    keep = F.col("v").isNotNull() | (F.col("action") == "terminated")
+    out = rows.filter(keep).select("doc_id", F.col("ls")[0]["page"].alias("page"), "issue_date", F.coalesce("effective", "issue_date").alias("effective_start"), "action", "code", F.coalesce("v.description", "said").alias("description"), "v.units", "v.amount", "v.anaesthesia_units", "v.old_units", "v.fee_note")
+    lost = rows.filter(~keep).select("doc_id", F.explode("ls").alias("l")).select("doc_id", "l.page", "l.line_no", "l.text")
+    other = df.filter(F.col("is_row") & ~part).select("doc_id", "page", "line_no", "text")
+    return out, lost.unionByName(other)
+
+
+def profile(text: str) -> tuple[str, Layout | Bulletin]:
+    """(payer, layout) from a TOML profile: payer, kind (fees, codes, bulletins), record, and the fields of the layout.
+
+    Columns are given as name = [from, to]; unknown kinds and fields, and patterns that do not compile, are errors."""
+    import re
+    import tomllib
+
+    data = tomllib.loads(text)
+    payer, kind = data.pop("payer"), data.pop("kind", "fees")
+    if kind not in ("fees", "codes", "bulletins"):
+        raise ValueError(f"unknown kind {kind!r}")
+    made = Bulletin if kind == "bulletins" else Layout
+    unknown = set(data) - set(made.__dataclass_fields__)
+    if unknown:
+        raise ValueError(f"unknown fields {', '.join(sorted(unknown))}")
+    if "columns" in data:
+        bad = [c for c, v in data["columns"].items() if len(v) != 2 or v[0] > v[1]]
+        if bad:
+            raise ValueError(f"columns need a from and a to: {', '.join(bad)}")
+        data["columns"] = {c: (float(a), float(z)) for c, (a, z) in data["columns"].items()}
+    data = {k: tuple(v) if isinstance(v, list) else v for k, v in data.items()}
+    for k in ("record", "heading", "page_section", "modifier", "leader", "value", "issued", "announcement", "effective", "label", "code_in_text"):
+        if data.get(k):
+            re.compile(data[k])
+    return payer, made(**data)
