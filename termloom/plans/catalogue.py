@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termloom.functions import text as X
 from termloom.operators import annotate, lexicon, linking, lookup, packed, tables
 from termloom.session import cut, maybe_broadcast, table
+from termloom.sources import load
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -241,6 +242,30 @@ def q_assign_ids(s, d):
     return tables.assign_ids(known, _t(s, d, "ns_msi_sample").filter("code is not null").select("code"), ["code"], "concept_id")
 
 
+_EDGE = ["concept_id_1", "concept_id_2", "relationship_id"]
+_EDGES = "select concept_id_1, concept_id_2, relationship_id, max_by(confidence, edge_id) confidence, max_by(source, edge_id) source from concept_relationship where concept_id_1 is not null and concept_id_2 is not null and {} group by 1, 2, 3"
+
+
+@query(f"""with o as ({_EDGES.format("coalesce(source, '') not like 'MATCH/%'").replace("max_by(confidence, edge_id)", "max_by({'c': confidence}, edge_id).c").replace("max_by(source, edge_id)", "max_by({'c': source}, edge_id).c")}),
+    n as ({_EDGES.format("source like 'MATCH/%'").replace("max_by(confidence, edge_id)", "max_by({'c': confidence}, edge_id).c")})
+    select coalesce(o.concept_id_1, n.concept_id_1) concept_id_1, coalesce(o.concept_id_2, n.concept_id_2) concept_id_2, coalesce(o.relationship_id, n.relationship_id) relationship_id,
+    case when n.concept_id_1 is not null then n.confidence else o.confidence end confidence, case when n.concept_id_1 is not null then n.source else o.source end source
+    from o full join n on o.concept_id_1 = n.concept_id_1 and o.concept_id_2 = n.concept_id_2 and o.relationship_id = n.relationship_id""")
+def q_upsert_edges(s, d):
+    e = _t(s, d, "concept_relationship").filter("concept_id_1 is not null and concept_id_2 is not null").select(*_EDGE, "confidence", "source", "edge_id")
+    match = F.coalesce(F.col("source").startswith("MATCH/"), F.lit(False))
+    one = lambda df: tables.last_wins(df, _EDGE, ["edge_id"]).drop("edge_id")
+    return tables.upsert(one(e.filter(~match)), one(e.filter(match)), _EDGE, ["confidence", "source"])
+
+
+@query("""with r as (select fee_row_id line, nullif(trim(units), '') u, nullif(trim(amount), '') a from ns_msi_sample),
+    v as (select *, try_cast(regexp_replace(u, '[$,\\s]', '', 'g') as decimal(10,2)) un, try_cast(regexp_replace(a, '[$,\\s]', '', 'g') as decimal(10,2)) an from r)
+    select line, un::double units, an::double amount, case when u is not null and un is null then 'line ' || line || ': bad units ' || u when a is not null and an is null then 'line ' || line || ': bad amount ' || a end as error from v""".replace("\\\\", "\\"))
+def q_checked_rows(s, d):
+    r = _t(s, d, "ns_msi_sample").select(F.col("fee_row_id").alias("line"), "units", "amount")
+    return load.checked(r, [], ["units", "amount"]).select("line", F.col("units").cast("double").alias("units"), F.col("amount").cast("double").alias("amount"), "error")
+
+
 _FEE_KEYS = ["code", "modifier", "locality", "effective_start"]
 
 
@@ -379,7 +404,26 @@ def _terms(s, d):
     return annotate.dictionary(c, _t(s, d, "concept_synonym"), linked)
 
 
-@query()
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _weights(col: str, table: dict, default: float) -> str:
+    return f"case {col} " + " ".join(f"when '{k}' then {v}" for k, v in table.items()) + f" else {default} end"
+
+
+@query(f"""with c as (select concept_id, name, domain, vocabulary_id from concept where valid_end is null and coalesce(concept_class, '') not in ('chapter', 'block')),
+    has as (select distinct concept_id_1 concept_id from concept_relationship where relationship_id in {_HOPS} union select concept_id from concept where vocabulary_id <> 'UMLS'),
+    t as materialized (select c.*, s.term, s.term_type, {_norm('s.term')} plain, {_norm(f"regexp_replace(s.term, '{chr(92)}([^)]*{chr(92)})|{chr(92)}[[^{chr(92)}]]*{chr(92)}]', ' ', 'g')")} bare, {_norm('name')} nname, concept_id in (select concept_id from has) linked,
+        coalesce({_key('name')} = {_key('s.term')}, false) named, list_filter(string_split({_norm("name || ' ' || s.term")}, ' '), lambda w: regexp_matches(w, '{annotate.CLINICAL_WORD}') and not list_contains({_list(annotate.NOT_CLINICAL)}, w)) clinical
+        from (select distinct concept_id, term, term_type from concept_synonym where term is not null) s join c using (concept_id)),
+    k as (select *, unnest(list_distinct([plain, bare, case when len(string_split(plain, ' ')) > 2 then array_to_string(list_filter(string_split(plain, ' '), lambda w: not list_contains({_list(X.ARTICLES)}, w)), ' ') else plain end])) as key from t),
+    u as (select *, string_split(key, ' ') ws from k where key <> '' and not regexp_matches(key, '^[0-9]+$'))
+    select key, concept_id, term_type, max(round({_weights('term_type', annotate.TERM_WEIGHT, 0.8)}::double * {_weights('domain', annotate.DOMAIN_WEIGHT, 0.5)}::double * case when linked then 1.0 else {annotate.UNLINKED} end::double
+        * case when vocabulary_id <> 'UMLS' and regexp_matches(name, '(?i){chr(92)}bin (diseases|conditions) classified elsewhere{chr(92)}b') then 0.5 else 1.0 end::double * case when named then 1.0 else {annotate.SECONDARY} end::double, 3)) score,
+        bool_or(linked or domain in ('condition', 'symptom') or len(clinical) > 0) keep
+    from u where case when len(ws) > 1 then len(list_filter(ws, lambda w: not list_contains({_list(annotate.STOPWORDS)}, w))) > 0 else length(key) >= 2 and not list_contains({_list(annotate.STOPWORDS)}, key) end
+        and not (list_contains({_list(annotate.GENERIC)}, key) and nname <> key) group by 1, 2, 3""")
 def q_dictionary(s, d):
     return _terms(s, d).select("key", "concept_id", "term_type", "score", "keep")
 
