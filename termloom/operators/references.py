@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import width
+from termloom.session import cut, width
 
-SPLIT_SAMPLE = 10_000  # keys that place the range bounds; the result does not depend on them
+SPLIT_SAMPLE = 100_000  # keys that place the range bounds; the result does not depend on them
 ROWS_PER_SALT = 2_000_000
+PARENTS_PER_RANGE = 500_000  # that a task holds
 NEVER, ALWAYS = -(2**31), 2**31 - 1
 
 
@@ -29,10 +30,11 @@ def orphans(refs: DataFrame, parents: DataFrame, rows_per_salt: int = ROWS_PER_S
     one that is valid from the first start to the last end (null: unbounded). Empty parents make every reference
     missing; empty refs give an empty result. Other columns of the inputs are ignored."""
     spark = refs.sparkSession
-    n = ranges or width(spark)
     parents = parents.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.max(F.col("valid_start").isNull()).alias("s0"), F.min("valid_start").alias("s"), F.max(F.col("valid_end").isNull()).alias("e0"), F.max("valid_end").alias("e"))
     parents = parents.select("key", F.when(F.col("s0"), NEVER).otherwise(F.unix_date("s")).cast("int").alias("a"), F.when(F.col("e0"), ALWAYS).otherwise(F.unix_date("e")).cast("int").alias("b"))
+    parents = cut(parents)
+    n = ranges or max(width(spark), -(-parents.count() // PARENTS_PER_RANGE))
     refs = refs.filter(F.col("key").isNotNull()).select("tbl", "row_id", "key", F.unix_date("at").alias("day"), "period")
     sample = sorted(r[0] for r in parents.select("key").orderBy(F.xxhash64("key"), "key").limit(SPLIT_SAMPLE).collect())  # bounded
     bounds = np.array(sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else [], dtype="U")
@@ -44,12 +46,16 @@ def orphans(refs: DataFrame, parents: DataFrame, rows_per_salt: int = ROWS_PER_S
     refs, parents = refs.withColumn("rng", range_of("key")), parents.withColumn("rng", range_of("key"))
     sizes = {r["rng"]: -(-r["n"] // rows_per_salt) for r in refs.groupBy("rng").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per range
     many = {k: v for k, v in sizes.items() if v > 1}
+    first, slots = {}, 0  # each range and salt is a partition of its own
+    for k in range(len(bounds) + 1):
+        first[k], slots = slots, slots + max(1, sizes.get(k, 1))
+    lead = F.element_at(F.array(*[F.lit(v) for v in first.values()]), F.col("rng") + 1)
     salts: Column = F.lit(1)
     if many:
         salts = F.coalesce(F.create_map(*[x for k, v in many.items() for x in (F.lit(k), F.lit(v))])[F.col("rng")], F.lit(1))
     refs = refs.withColumn("salt", F.pmod(F.xxhash64("tbl", "row_id"), salts.cast("bigint")).cast("int")).withColumn("kind", F.lit(1))
     parents = parents.withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int")))).withColumn("kind", F.lit(0))
-    both = refs.unionByName(parents, allowMissingColumns=True).repartition(n, "rng", "salt").sortWithinPartitions("rng", "salt", "kind", "key")
+    both = refs.unionByName(parents, allowMissingColumns=True).repartitionById(slots, (lead + F.col("salt")).cast("int")).sortWithinPartitions("rng", "salt", "kind", "key")
     return both.mapInPandas(_probe, "tbl string, row_id bigint, period string, reason string")
 
 
