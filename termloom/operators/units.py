@@ -47,28 +47,30 @@ def factor_of(field: Column, unit: Column) -> Column:
     return F.create_map(*pairs)[F.concat_ws("/", field, unit)]
 
 
-def measured(fees: DataFrame, records: DataFrame, feeds: DataFrame) -> DataFrame:
+def measured(fees: DataFrame, records: DataFrame, feeds: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per value: tbl, row_id, field, feed, code, at (date), seq, value, number, declared (unit or null), clock.
 
     Values that are null, a percentage or without a number give no row. The tables may be empty; a feed without a row
-    in ``feeds`` declares nothing. ``feeds`` is read as given and joined (a few rows per feed, size-checked)."""
+    in ``feeds`` declares nothing. ``feeds`` is read as given and joined (a few rows per feed, size-checked). Columns of the fees in ``keep`` go along in
+    a struct ``kept``."""
     def part(tbl: str, rows: DataFrame, key: str, q: str, at, value, text) -> DataFrame:
-        rows = rows.select(F.lit(tbl).alias("tbl"), F.col(key).alias("row_id"), F.lit(q).alias("field"), "feed", "code", at.alias("at"), value.alias("value"), text.alias("text")).filter(F.col("value").isNotNull())
+        rows = rows.select(F.lit(tbl).alias("tbl"), F.col(key).alias("row_id"), F.lit(q).alias("field"), "feed", "code", at.alias("at"), value.alias("value"), text.alias("text"), *([F.struct(*keep).alias("kept")] if keep and tbl == "ns_msi_sample" else [])).filter(F.col("value").isNotNull())
+        kept = ["kept"] if "kept" in rows.columns else []
         clock = Q.is_clock(F.col("value")) if q == "duration" else F.lit(False)
         said = F.coalesce(Q.unit_in_value(F.col("value"), q), Q.unit_in_text(F.col("text"), q))
-        return rows.select("tbl", "row_id", "field", "feed", "code", "at", Q.number(F.col("value")).alias("number"), clock.alias("clock"), said.alias("said"))
+        return rows.select("tbl", "row_id", "field", "feed", "code", "at", Q.number(F.col("value")).alias("number"), clock.alias("clock"), said.alias("said"), *kept)
 
     none = F.lit(None).cast("date")
     parts = [part("ns_msi_sample", fees, "fee_row_id", q, F.col("effective_start"), F.col(q), F.col("description")) for q in ("units", "amount")]
     parts += [part("fee_record", records, "record_id", q, none, F.try_element_at("fee_values", F.lit(q)), F.concat_ws(" ", "description")) for q in UNITS]
     rows = parts[0]
     for p in parts[1:]:
-        rows = rows.unionByName(p)
+        rows = rows.unionByName(p, allowMissingColumns=True)
     one_feed = feeds.groupBy(F.col("feed").alias("feed_")).agg(*[F.min(c).alias(c) for c in ("units_unit", "amount_unit", "duration_unit")])
     rows = rows.filter(F.col("number").isNotNull()).join(one_feed, F.col("feed") == F.col("feed_"), "left")
     by_feed = F.when(F.col("field") == "units", F.col("units_unit")).when(F.col("field") == "amount", F.col("amount_unit")).otherwise(F.col("duration_unit"))
     declared = F.when(F.col("clock"), F.lit("minute")).otherwise(F.coalesce("said", by_feed))
-    return rows.select("tbl", "row_id", "field", "feed", "code", "at", "number", "clock", declared.alias("declared"))
+    return rows.select("tbl", "row_id", "field", "feed", "code", "at", "number", "clock", declared.alias("declared"), *(["kept"] if keep else []))
 
 
 def common(rows: DataFrame, unit: str = "unit") -> DataFrame:
@@ -277,18 +279,21 @@ def recovered(segmented: DataFrame) -> DataFrame:
                                     n(odd).alias("n_not_common"), n(odd & F.col("right")).alias("n_not_common_right"))
 
 
-def with_common_units(fees: DataFrame, feeds: DataFrame) -> DataFrame:
-    """fee_row_id and the units of each fee in hundredths of the common unit, in the unit that ``segment_units`` gives.
+def with_common_units(fees: DataFrame, feeds: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """fee_row_id, the columns ``keep`` and the units of each fee in hundredths of the common unit, in the unit that ``segment_units`` gives.
 
     A declaration outweighs any level there, so only histories with a value that declares no known unit are segmented."""
     empty = fees.sparkSession.createDataFrame([], "record_id bigint, feed string, code string, fee_values map<string,string>, description array<string>")
-    rows = measured(fees, empty, feeds).filter(F.col("field") == "units").withColumn("h_", F.to_json(F.struct(*HISTORY)))
+    rows = measured(fees, empty, feeds, keep).filter(F.col("field") == "units").withColumn("h_", F.to_json(F.struct(*HISTORY)))
+    if small_enough(rows.filter(factor_of(F.col("field"), F.col("declared")).isNull()).select("row_id"), 0):
+        out = common(rows.withColumn("unit", F.col("declared")))
+        return out.select(F.col("row_id").alias("fee_row_id"), *[f"kept.{c}" for c in keep], F.col("common_value").alias("units_common")).filter(F.col("units_common").isNotNull())
     undeclared = rows.filter(factor_of(F.col("field"), F.col("declared")).isNull()).select("h_").distinct()
     told = rows.join(undeclared, "h_", "left_anti").withColumn("unit", F.col("declared"))
     levelled = segment_units(rows.join(undeclared, "h_", "left_semi").drop("h_")).withColumn("unit", F.coalesce("unit", "declared"))
-    cols = ["row_id", "field", "number", "unit"]
+    cols = ["row_id", "field", "number", "unit", *(["kept"] if keep else [])]
     out = common(told.select(*cols).unionByName(levelled.select(*cols)))
-    return out.select(F.col("row_id").alias("fee_row_id"), F.col("common_value").alias("units_common")).filter(F.col("units_common").isNotNull())
+    return out.select(F.col("row_id").alias("fee_row_id"), *[f"kept.{c}" for c in keep], F.col("common_value").alias("units_common")).filter(F.col("units_common").isNotNull())
 
 
 __all__ = ["blinded", "common", "measured", "recorded_otherwise", "recovered", "segment_units", "unit_changes", "with_common_units"]

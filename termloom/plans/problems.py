@@ -64,11 +64,9 @@ def _snapshot_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fee_states(spark: SparkSession, d: str) -> DataFrame:
-    fees = table(spark, d, "ns_msi_sample")
-    value = units.with_common_units(fees, table(spark, d, "feed_info")).withColumnRenamed("fee_row_id", "r_")
+    value = units.with_common_units(table(spark, d, "ns_msi_sample"), table(spark, d, "feed_info"), ("code", "modifier", "locality", "effective_start", "loaded_at"))
     entity = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("code", "modifier", "locality")])
-    return fees.join(value, F.col("fee_row_id") == F.col("r_")).select(
-        entity.alias("entity"), F.col("effective_start").alias("at"), F.col("units_common").cast("string").alias("state"), F.col("loaded_at").alias("received"), F.col("fee_row_id").alias("row_id"))
+    return value.select(entity.alias("entity"), F.col("effective_start").alias("at"), F.col("units_common").cast("string").alias("state"), F.col("loaded_at").alias("received"), F.col("fee_row_id").alias("row_id"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
