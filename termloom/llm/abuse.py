@@ -176,7 +176,7 @@ def score_rows(rows: list[np.ndarray], model: dict) -> np.ndarray:
     return score(*_csr(rows), model) if rows else np.zeros(0)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 14, rate: float = 0.08, decay: float = 2e-5, seed: int = 3) -> dict:
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 10, rate: float = 0.08, decay: float = 2e-5, seed: int = 3) -> dict:
     """A factorization machine by AdaGrad on the logistic loss, in mini-batches."""
     rng = np.random.default_rng(seed)
     m = {"w": np.zeros(BUCKETS), "v": rng.normal(0, 0.05, (BUCKETS, FACTORS)), "b": -1.0}
@@ -209,7 +209,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int =
     return m
 
 
-def train(labelled: pd.DataFrame, rounds: int = 3, most_sentences: int = MOST_SENTENCES) -> dict:
+def train(labelled: pd.DataFrame, rounds: int = 2, most_sentences: int = MOST_SENTENCES) -> dict:
     """labelled: text, label (none or a kind of abuse).
 
     A sentence of a document with a label is taken as positive if the machine so far finds it so, or if half of its
