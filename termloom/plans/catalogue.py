@@ -442,9 +442,11 @@ def _targets(s, d) -> DataFrame:
     return packed.unpack(p).select(F.col("row_id").alias("pattern_id"), "item_pos", "item")
 
 
-def _mentioned(s, d, docs: DataFrame, cues: bool = False) -> tuple[DataFrame, DataFrame]:
+def _mentioned(s, d, docs: DataFrame, cues: bool = False, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(mentions by dictionary and lexicon, events of the texts)."""
-    terms, lex, parts = cut(_terms(s, d)), cut(lexicon.compiled(_t(s, d, "patterns"))), _parts(s)
+    if terms is None:
+        terms = cut(_terms(s, d))
+    lex, parts = cut(lexicon.compiled(_t(s, d, "patterns"))), _parts(s)
     events = annotate.spotted(docs, terms, lex, parts, cues)
     options = lexicon.options(lexicon.found(events, lex), _targets(s, d), parts, terms, _t(s, d, "concept"), _codes(s, d))
     return annotate.mentions(docs, terms, options, events), events
@@ -459,14 +461,15 @@ def _kinds(s, d) -> DataFrame:
 
 def _annotated(s, d, docs: DataFrame) -> DataFrame:
     """Mentions in context, settled, with codes and those of history and family in their place."""
-    found, events = _mentioned(s, d, docs, cues=True)
+    terms = cut(_terms(s, d))
+    found, events = _mentioned(s, d, docs, cues=True, terms=terms)
     m = cut(annotate.with_context(found, docs, events))
     kinds = cut(_kinds(s, d))
     senses = _t(s, d, "senses")
     cues = packed.unpack(senses.select(F.lit("senses").alias("tbl"), F.col("sense_id").alias("row_id"), F.lit("cues").alias("field"), F.col("cues").alias("text")), {"cues": packed.Rule(unwrap=True)})
     cues = senses.join(cues, F.col("sense_id") == F.col("row_id")).select("term", "target", F.col("item").alias("cue"))
     told = annotate.sense_hits(m, docs, cues).filter("settled").select("doc_id", "i", X.normalize(F.col("target")).alias("key"))
-    told = told.join(annotate.top_candidates(cut(_terms(s, d))).select("key", F.col("candidates")[0]["concept_id"].alias("concept_id")), "key").groupBy("doc_id", "i").agg(F.min("concept_id").alias("concept_id"))
+    told = told.join(annotate.top_candidates(terms).select("key", F.col("candidates")[0]["concept_id"].alias("concept_id")), "key").groupBy("doc_id", "i").agg(F.min("concept_id").alias("concept_id"))
     voted = annotate.vote(m, kinds.drop("code"))
     picked = voted.join(told.withColumnRenamed("concept_id", "sense"), ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce("sense", "concept_id").alias("concept_id"), (F.col("ambiguous") & F.col("sense").isNull()).alias("ambiguous"))
     m = annotate.put_first(m, picked).join(picked.select("doc_id", "i", "ambiguous"), ["doc_id", "i"])
