@@ -123,3 +123,19 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str, tie:
     w = Window.partitionBy(key, "_m").orderBy(at, "_k").rowsBetween(Window.unboundedPreceding, 0)
     got = both.withColumn("_in", F.last("_v", True).over(w)).filter("_k = 1").join(marks, [key, "_m"], "left")
     return got.withColumn(value, F.coalesce("_in", "_carry")).drop("_m", "_v", "_k", "_in", "_carry")
+
+
+def carry_forward(rows: DataFrame, keys: list[str], bucket: Column, order: list[Column], values: list[str]) -> DataFrame:
+    """``rows`` with each of ``values`` filled from the last row before it, by key, bucket and order, that has one.
+
+    Within a bucket (a page, say) the last value seen is carried; the last one of each bucket, a row per key and bucket,
+    is carried over buckets, so a hot key is split. ``bucket`` and ``order`` must not be null; null keys are keys."""
+    key = F.to_json(F.struct(*keys))
+    rows = rows.withColumn("_k", key).withColumn("_b", bucket)
+    here = Window.partitionBy("_k", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("_k", "_b").agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(c).alias("v"))))["v"].alias(f"_e_{c}") for c in values])
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_k", "_b", *[F.last(f"_e_{c}", True).over(before).alias(f"_c_{c}") for c in values])
+    out = rows.select("*", *[F.last(c, True).over(here).alias(f"_i_{c}") for c in values]).join(ends, ["_k", "_b"])
+    rest = [c for c in rows.columns if c not in values and c not in ("_k", "_b")]
+    return out.select(*rest, *[F.coalesce(f"_i_{c}", f"_c_{c}").alias(c) for c in values])

@@ -567,8 +567,9 @@ def q_line_groups(s, d):
 
 @query("""select record_id, last_value(heading ignore nulls) over w as heading, last_value(section ignore nulls) over w as section from fee_record window w as (partition by feed, payer order by page, x0, record_id rows between unbounded preceding and current row)""")
 def q_carry_forward(s, d):
-    w = Window.partitionBy("feed", "payer").orderBy(F.col("page").asc_nulls_last(), F.col("x0").asc_nulls_last(), "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _t(s, d, "fee_record").select("record_id", F.last("heading", True).over(w).alias("heading"), F.last("section", True).over(w).alias("section"))
+    f = _t(s, d, "fee_record").select("record_id", "feed", "payer", "page", "x0", "heading", "section")
+    order = [F.coalesce("x0", F.lit(float("inf"))), F.col("record_id")]
+    return tables.carry_forward(f, ["feed", "payer"], F.coalesce("page", F.lit(2**31 - 1)), order, ["heading", "section"]).select("record_id", "heading", "section")
 
 
 @query("select feed, page, arg_min(section, {'x': coalesce(x0, 1e300), 'r': record_id}) as section, count(*) n_records, count(distinct code) n_codes from fee_record where section is not null group by 1, 2")
