@@ -18,13 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import ROWS_PER_SALT, cut, join_hot, width
+from termloom.session import ROWS_PER_SALT, cut, join_hot, maybe_broadcast, width
 
 SEPARATORS = ("\n", "\t", ";", "|", ",", " / ")
 QUOTES = ('"\'', '"', "'", "")
 CHAR_BITS, ITEM_BITS, SEPARATOR_BITS, QUOTE_BITS = 7.0, 4.0, 2.0, 1.0
 EDGE_BITS = 16.0  # of a quote left standing at either end of a value, each time: quotes there should enclose it
 INSIDE_BITS = 30.0  # of a separator within a value, in the list of values: more than another value would cost
+CHOSEN_ROWS = 1_000_000  # pairs of two numbers that are broadcast at most
 ROUNDS = 2  # choices of a dialect, each with the shares of the one before
 
 
@@ -143,25 +144,25 @@ def _inside(rules: dict[str, Rule]) -> Column:
 
 
 def _chosen(parses: DataFrame, weight: str, rules: dict[str, Rule]) -> DataFrame:
-    """field, text, parse: the cheapest candidate of each text, by the items of all candidates with ``weight``."""
+    """tid, parse: the cheapest candidate of each text, by the items of all candidates with ``weight``."""
     counts = parses.select("field", F.explode("items").alias("item"), F.col(weight).alias("n")).groupBy("field", "item").agg(F.sum("n").alias("c")).filter("c > 0")
     total = counts.groupBy("field").agg(F.sum("c").alias("t"))  # a row per kind of field
     bits = counts.join(F.broadcast(total), "field").select("field", "item", "c", "t")
     open_ = parses.filter("n_parses > 1")
-    items = open_.select("field", "text", "parse", "price", F.explode_outer("items").alias("item")).join(bits.drop("t"), ["field", "item"], "left").join(F.broadcast(total), "field", "left")
+    items = open_.select("field", "tid", "parse", "price", F.explode_outer("items").alias("item")).join(maybe_broadcast(bits.drop("t")), ["field", "item"], "left").join(F.broadcast(total), "field", "left")
     uses = F.greatest(F.coalesce("c", F.lit(1.0)), F.lit(1.0))
     spelled = (F.lit(ITEM_BITS) + F.lit(CHAR_BITS) * F.length("item") + F.lit(INSIDE_BITS) * _inside(rules)) / uses
     edges = F.lit(EDGE_BITS) * (F.col("item").rlike("^[\"']").cast("double") + F.col("item").rlike("[\"']$").cast("double"))
     spelled = spelled + edges
-    cost = items.groupBy("field", "text", "parse").agg((F.first("price") + F.sum(F.coalesce(F.log2(F.greatest(F.col("t"), F.lit(1.0)) / uses) + spelled, F.lit(0.0)))).alias("cost"))
-    best = cost.groupBy("field", "text").agg(F.min_by("parse", F.struct(F.round("cost", 6), "parse")).alias("parse"))
-    return best.unionByName(parses.filter("n_parses = 1").select("field", "text", "parse"))
+    cost = items.groupBy("tid", "parse").agg((F.first("price") + F.sum(F.coalesce(F.log2(F.greatest(F.col("t"), F.lit(1.0)) / uses) + spelled, F.lit(0.0)))).alias("cost"))
+    best = cost.groupBy("tid").agg(F.min_by("parse", F.struct(F.round("cost", 6), "parse")).alias("parse"))
+    return best.unionByName(parses.filter("n_parses = 1").select("tid", "parse"))
 
 
 def unpack(rows: DataFrame, rules: dict[str, Rule] | None = None, per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """rows: tbl, row_id, field, text; rules: by field. Gives tbl, row_id, field, item_pos, item.
 
-    Parses are made once per distinct text. A null, empty or blank text gives no row; equal costs go to the finer
+    Parses are made once per distinct text and are known by a number after that. A null, empty or blank text gives no row; equal costs go to the finer
     parse; repeated items keep their own positions; a field that is one quoted value is that value. The candidates of a
     text are at most 2**6 separator sets times four quotings, usually two to eight. An empty input gives an empty result."""
     rules, spark = rules or {}, rows.sparkSession
@@ -169,19 +170,21 @@ def unpack(rows: DataFrame, rules: dict[str, Rule] | None = None, per_salt: int
     def run(batches):
         for pdf in batches:
             got = []
-            for kind, text, n in zip(pdf["field"], pdf["text"], pdf["n"]):
+            for tid, kind, text, n in zip(pdf["tid"], pdf["field"], pdf["text"], pdf["n"]):
                 many = candidates(text, rules.get(kind, PLAIN))
-                got += [(kind, text, k, len(many), price, items, float(n), n / len(many)) for k, (items, price) in enumerate(many)]
-            yield pd.DataFrame(got, columns=["field", "text", "parse", "n_parses", "price", "items", "n", "share"])
+                got += [(tid, kind, text if k == 0 else None, k, len(many), price, items, float(n), n / len(many)) for k, (items, price) in enumerate(many)]
+            yield pd.DataFrame(got, columns=["tid", "field", "text", "parse", "n_parses", "price", "items", "n", "share"])
 
     rows = rows.filter(F.trim("text") != "")
     texts = rows.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n")).repartition(max(width(spark), spark.sparkContext.defaultParallelism))
-    parses = cut(texts.mapInPandas(run, "field string, text string, parse int, n_parses int, price double, items array<string>, n double, share double"))
-    chosen, weight = None, "share"
+    parses = cut(texts.withColumn("tid", F.monotonically_increasing_id()).mapInPandas(run, "tid bigint, field string, text string, parse int, n_parses int, price double, items array<string>, n double, share double"))
+    named, chosen, weight = parses.drop("text"), None, "share"
+    taken = lambda: maybe_broadcast(chosen, CHOSEN_ROWS)
     for k in range(ROUNDS):
-        best = cut(_chosen(parses if k == 0 else parses.join(chosen.withColumn("on", F.lit(1.0)), ["field", "text", "parse"], "left").withColumn("now", F.coalesce("on", F.lit(0.0)) * F.col("n")).drop("on"), weight, rules))
+        best = cut(_chosen(named if k == 0 else named.join(taken().withColumn("on", F.lit(1.0)), ["tid", "parse"], "left").withColumn("now", F.coalesce("on", F.lit(0.0)) * F.col("n")).drop("on"), weight, rules))
         chosen, weight = best, "now"
-    items = parses.join(chosen, ["field", "text", "parse"], "left_semi").select("field", "text", "items")
+    items = parses.select("tid", "parse", "items").join(taken(), ["tid", "parse"], "left_semi").select("tid", "items")
+    items = parses.filter("parse = 0").select("tid", "field", "text").join(items, "tid").select("field", "text", "items")
     out = join_hot(rows.select("field", "text", "tbl", "row_id"), items, ["field", "text"], per_salt)
     return out.select("tbl", "row_id", "field", F.posexplode("items").alias("p", "item")).select("tbl", "row_id", "field", (F.col("p") + 1).cast("int").alias("item_pos"), "item")
 

@@ -271,3 +271,37 @@ def events(docs: DataFrame, want: Wanted) -> DataFrame:
             yield pd.DataFrame(got, columns=names)
 
     return spread(docs.filter(F.col("text").isNotNull()).select("doc_id", "text")).mapInPandas(run, EVENTS)
+
+
+def phrases(docs: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """doc_id, cue, lo, hi: what may be a phrase of wanted(cue), of at most ``most`` words, in each text of docs(doc_id,
+    text): once, with the place after its first occurrence and that of its last one. Punctuation does not part words. The
+    bit table may let others through."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "cue"))
+
+    def run(batches):
+        table, known = shared.value, {}
+        begins = _Pass.begins
+        for pdf in batches:
+            got = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                words, places = [t[2] for t in pieces(text)], {}
+                for i, w in enumerate(words):
+                    f = known.get(w)
+                    if f is None:
+                        if len(known) > 200_000:
+                            known.clear()
+                        f = known[w] = begins(table, w) | begins(table, w + "\n") << 1
+                    if f & 2:
+                        places[w] = (places[w][0] if w in places else i + 1), i
+                    k = 2
+                    while f & 1 and k <= most and i + k <= len(words):
+                        w += " " + words[i + k - 1]
+                        if begins(table, w + "\n"):
+                            old = places.get(w)
+                            places[w] = (i + k, i) if old is None else (min(old[0], i + k), i)
+                        f, k = begins(table, w), k + 1
+                got += [(doc, cue, lo, hi) for cue, (lo, hi) in places.items()]
+            yield pd.DataFrame(got, columns=["doc_id", "cue", "lo", "hi"])
+
+    return spread(docs.filter(F.col("text").isNotNull()).select("doc_id", "text")).mapInPandas(run, "doc_id bigint, cue string, lo int, hi int")

@@ -459,16 +459,20 @@ def _kinds(s, d) -> DataFrame:
     return c.join(best, "concept_id", "left").select("concept_id", F.col("best").alias("code"), annotate.chapter(F.col("best"), F.col("domain")).alias("chapter"), F.array_join(X.word_set(F.col("name"))["key"], " ").alias("word_key"))
 
 
+def _senses(s, d) -> DataFrame:
+    """term, target, cue."""
+    senses = _t(s, d, "senses")
+    cues = packed.unpack(senses.select(F.lit("senses").alias("tbl"), F.col("sense_id").alias("row_id"), F.lit("cues").alias("field"), F.col("cues").alias("text")), {"cues": packed.Rule(unwrap=True)})
+    return senses.join(cues, F.col("sense_id") == F.col("row_id")).select("term", "target", F.col("item").alias("cue"))
+
+
 def _annotated(s, d, docs: DataFrame) -> DataFrame:
     """Mentions in context, settled, with codes and those of history and family in their place."""
     terms = cut(_terms(s, d))
     found, events = _mentioned(s, d, docs, cues=True, terms=terms)
     m = cut(annotate.with_context(found, docs, events))
     kinds = cut(_kinds(s, d))
-    senses = _t(s, d, "senses")
-    cues = packed.unpack(senses.select(F.lit("senses").alias("tbl"), F.col("sense_id").alias("row_id"), F.lit("cues").alias("field"), F.col("cues").alias("text")), {"cues": packed.Rule(unwrap=True)})
-    cues = senses.join(cues, F.col("sense_id") == F.col("row_id")).select("term", "target", F.col("item").alias("cue"))
-    told = annotate.sense_hits(m, docs, cues).filter("settled").select("doc_id", "i", X.normalize(F.col("target")).alias("key"))
+    told = annotate.sense_hits(m, docs, _senses(s, d)).filter("settled").select("doc_id", "i", X.normalize(F.col("target")).alias("key"))
     told = told.join(annotate.top_candidates(terms).select("key", F.col("candidates")[0]["concept_id"].alias("concept_id")), "key").groupBy("doc_id", "i").agg(F.min("concept_id").alias("concept_id"))
     voted = annotate.vote(m, kinds.drop("code"))
     picked = voted.join(told.withColumnRenamed("concept_id", "sense"), ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce("sense", "concept_id").alias("concept_id"), (F.col("ambiguous") & F.col("sense").isNull()).alias("ambiguous"))
@@ -528,9 +532,7 @@ def q_unresolved_targets(s, d):
 @query()
 def q_sense_hits(s, d):
     docs = _t(s, d, "documents").select("doc_id", "text")
-    senses = _t(s, d, "senses")
-    cues = packed.unpack(senses.select(F.lit("senses").alias("tbl"), F.col("sense_id").alias("row_id"), F.lit("cues").alias("field"), F.col("cues").alias("text")), {"cues": packed.Rule(unwrap=True)})
-    senses = senses.join(cues, F.col("sense_id") == F.col("row_id")).select("term", "target", F.col("item").alias("cue"))
+    senses = cut(_senses(s, d))
     keys = senses.filter("term is not null").select(X.normalize(F.col("term")).alias("key"), F.lit(False).alias("abbreviation_only")).distinct()
     events = annotate.spotted(docs, keys)
     found = annotate.leftmost_longest(annotate.dictionary_spans(events, keys)).drop("lit").withColumnRenamed("key", "text")
