@@ -9,7 +9,7 @@ each pattern and body part that occur.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import text as X
@@ -101,7 +101,18 @@ def matches(docs: DataFrame, patterns: DataFrame, parts: list[str]) -> DataFrame
 
 
 def options(hits: DataFrame, targets: DataFrame, parts: DataFrame, terms: DataFrame, concept: DataFrame, codes: DataFrame) -> DataFrame:
-    """doc_id, i, n, suppressed, candidates, extra: what the lexicon matches ``found`` stand for.
+    """doc_id, i, n, suppressed, candidates, extra: what the lexicon matches ``found`` stand for, by ``choices``."""
+    both = choices(hits, targets, parts, A.top_candidates(terms), concept, codes)
+    return hits.withColumn("ref", ref()).join(both, "ref").select("doc_id", "i", "n", "suppressed", "candidates", "extra")
+
+
+def ref(pattern: str = "pattern_id", part: str = "part") -> Column:
+    """A name of a pattern and body part; no key of a dictionary has a line end."""
+    return F.concat(F.col(pattern).cast("string"), F.lit("\n"), F.coalesce(part, F.lit("")))
+
+
+def choices(hits: DataFrame, targets: DataFrame, parts: DataFrame, top: DataFrame, concept: DataFrame, codes: DataFrame) -> DataFrame:
+    """ref, suppressed, candidates, extra: what each pattern and body part of the matches ``found`` stands for.
 
     targets: pattern_id, item_pos, item; parts: word, part, adjective, pain. A target is ``-`` (the match is suppressed),
     a code ``vocabulary:code``, or a term of the dictionary, with codes added after ``+``; {part}, {adj} and {pain} are
@@ -126,7 +137,7 @@ def options(hits: DataFrame, targets: DataFrame, parts: DataFrame, terms: DataFr
     norm = X.normalize(F.col("main"))
     bare = F.when(F.size(F.split(norm, " ")) > 2, F.array_join(F.filter(F.split(norm, " "), lambda w: ~w.isin(X.ARTICLES)), " ")).otherwise(norm)
     asked = t.filter(~F.col("main").rlike(spec)).select("pattern_id", "word", "item_pos", "main", F.posexplode(F.array_distinct(F.array(norm, X.singular(norm), bare, X.singular(bare)))).alias("rank", "key"))
-    by_term = asked.join(A.top_candidates(terms).drop("keep"), "key").groupBy("pattern_id", "word", "item_pos").agg(F.min_by(F.struct("main", "candidates"), "rank").alias("b"))
+    by_term = asked.join(top.drop("keep"), "key").groupBy("pattern_id", "word", "item_pos").agg(F.min_by(F.struct("main", "candidates"), "rank").alias("b"))
     first = F.col("b.candidates")[0]
     curated = F.struct(first["r"].alias("r"), first["concept_id"].alias("concept_id"), F.lit(1.0).alias("score"), F.col("b.main").alias("term"), F.lit("curated").alias("term_type"))
     by_term = by_term.select("pattern_id", "word", "item_pos", F.concat(F.array(curated), F.slice("b.candidates", 2, A.MAX_CANDIDATES)).cast(A.CANDIDATES).alias("c"))
@@ -144,8 +155,7 @@ def options(hits: DataFrame, targets: DataFrame, parts: DataFrame, terms: DataFr
     both = best.join(off, (best["pattern_id"] == off["pattern_id"]) & best["word"].eqNullSafe(off["word"]), "full").select(
         F.coalesce(best["pattern_id"], off["pattern_id"]).alias("pattern_id"), F.coalesce(best["word"], off["word"]).alias("word"), F.coalesce("off", F.lit(False)).alias("suppressed"), "candidates", "extra")
     both = both.withColumn("candidates", F.coalesce("candidates", F.array().cast(A.CANDIDATES))).withColumn("extra", F.coalesce("extra", F.array().cast("array<struct<vocabulary_id:string,code:string>>")))
-    both = both.select(F.col("pattern_id").alias("q_"), F.col("word").alias("w_"), "suppressed", "candidates", "extra")
-    return hits.join(both, (F.col("pattern_id") == F.col("q_")) & F.col("part").eqNullSafe(F.col("w_"))).select("doc_id", "i", "n", "suppressed", "candidates", "extra")
+    return both.select(ref("pattern_id", "word").alias("ref"), "suppressed", "candidates", "extra")
 
 
 def _null_safe(added: DataFrame) -> DataFrame:

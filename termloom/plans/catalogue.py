@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as X
 from termloom.operators import annotate, lexicon, linking, lookup, packed, tables
-from termloom.session import cut, maybe_broadcast, table
+from termloom.session import cut, freed, maybe_broadcast, table
 from termloom.sources import load
 
 QUERIES: dict = {}
@@ -467,20 +467,37 @@ def _senses(s, d) -> DataFrame:
 
 
 def _annotated(s, d, docs: DataFrame) -> DataFrame:
-    """Mentions in context, settled, with codes and those of history and family in their place."""
-    terms = cut(_terms(s, d))
-    found, events = _mentioned(s, d, docs, cues=True, terms=terms)
-    m = cut(annotate.with_context(found, docs, events))
+    """Mentions in context, settled, with codes and those of history and family in their place.
+
+    Mentions carry the ref of what they stand for. Candidates and codes are made once per ref and met at the end."""
+    concept = _t(s, d, "concept")
+    terms, codes = cut(_terms(s, d)), cut(_codes(s, d))
+    top = freed(annotate.top_candidates(terms))
+    lex, parts = cut(lexicon.compiled(_t(s, d, "patterns"))), _parts(s)
+    events = annotate.spotted(docs, terms, lex, parts, True)
+    hits = cut(lexicon.found(events, lex))
+    choices = freed(lexicon.choices(hits, _targets(s, d), parts, top, concept, codes))
+    lexical = hits.withColumn("ref", lexicon.ref()).join(maybe_broadcast(choices.select("ref", "suppressed")), "ref").select("doc_id", "i", "n", "suppressed", "ref")
+    m = freed(annotate.mentions(docs, terms, lexical, events, top))
+    context = freed(annotate.contexts(m, events).drop("cues"))
     kinds = cut(_kinds(s, d))
+    meanings = freed(annotate.meanings(top, choices).join(maybe_broadcast(m.select("ref").distinct()), "ref", "left_semi"))
     told = annotate.sense_hits(m, docs, _senses(s, d)).filter("settled").select("doc_id", "i", X.normalize(F.col("target")).alias("key"))
-    told = told.join(annotate.top_candidates(terms).select("key", F.col("candidates")[0]["concept_id"].alias("concept_id")), "key").groupBy("doc_id", "i").agg(F.min("concept_id").alias("concept_id"))
-    voted = annotate.vote(m, kinds.drop("code"))
-    picked = voted.join(told.withColumnRenamed("concept_id", "sense"), ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce("sense", "concept_id").alias("concept_id"), (F.col("ambiguous") & F.col("sense").isNull()).alias("ambiguous"))
-    m = annotate.put_first(m, picked).join(picked.select("doc_id", "i", "ambiguous"), ["doc_id", "i"])
-    coded = cut(annotate.with_codes(m, _codes(s, d)))
-    best = coded.withColumn("concept_id", F.col("candidates")[0]["concept_id"]).join(kinds.select("concept_id", "word_key", "code"), "concept_id", "left")
-    switched = annotate.context_codes(best.select("doc_id", "i", "assertion", "experiencer", "temporality", "word_key", "code"), annotate.history_titles(_t(s, d, "concept")))
-    return annotate.in_context(coded, switched)
+    told = told.join(maybe_broadcast(top.select("key", F.col("candidates")[0]["concept_id"].alias("concept_id"))), "key").groupBy("doc_id", "i").agg(F.min("concept_id").alias("sense"))
+    told = freed(told)
+    voted = annotate.settle(m.select("doc_id", "i", "ref").join(maybe_broadcast(annotate.pairs(meanings, kinds.drop("code"), ["ref"])), "ref").drop("ref"))
+    picked = voted.join(told, ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce("sense", "concept_id").alias("_p"), (F.col("ambiguous") & F.col("sense").isNull()).alias("ambiguous"))
+    # each candidate of a ref with its codes
+    each = meanings.select("ref", F.posexplode(F.transform("candidates", lambda c: c["concept_id"])).alias("k", "concept_id"), "extra")
+    each = each.select(F.col("ref").alias("doc_id"), F.col("k").alias("i"), F.array(F.struct("concept_id")).alias("candidates"), "extra")
+    each = annotate.with_codes(each, codes).withColumn("concept_id", F.col("candidates")[0]["concept_id"]).join(kinds.select("concept_id", "word_key", "code"), "concept_id", "left")
+    each = freed(each.groupBy(F.col("doc_id").alias("ref")).agg(F.array_sort(F.collect_list(F.struct("i", "concept_id", "codes", "word_key", "code"))).alias("each")))  # at most MAX_CANDIDATES
+    best = F.coalesce(F.try_element_at(F.filter("each", lambda c: c["concept_id"] == F.col("_p")), F.lit(1)), F.col("each")[0])
+    m = m.join(context, ["doc_id", "i"], "left").join(picked, ["doc_id", "i"]).join(maybe_broadcast(each), "ref").withColumn("best", best)
+    ids = F.concat(F.array(F.struct("best.concept_id")), F.transform(F.filter("each", lambda c: c["i"] != F.col("best.i")), lambda c: F.struct(c["concept_id"].alias("concept_id"))))
+    coded = freed(m.select("doc_id", "i", "n", "start", "end", "text", "assertion", "experiencer", "temporality", "ambiguous", ids.alias("candidates"), "best.codes", "best.word_key", "best.code"))
+    switched = annotate.context_codes(coded.select("doc_id", "i", "assertion", "experiencer", "temporality", "word_key", "code"), annotate.history_titles(concept))
+    return annotate.in_context(coded.drop("word_key", "code"), switched)
 
 
 @query()
@@ -532,7 +549,7 @@ def q_unresolved_targets(s, d):
 @query()
 def q_sense_hits(s, d):
     docs = _t(s, d, "documents").select("doc_id", "text")
-    senses = cut(_senses(s, d))
+    senses = freed(_senses(s, d))
     keys = senses.filter("term is not null").select(X.normalize(F.col("term")).alias("key"), F.lit(False).alias("abbreviation_only")).distinct()
     events = annotate.spotted(docs, keys)
     found = annotate.leftmost_longest(annotate.dictionary_spans(events, keys)).drop("lit").withColumnRenamed("key", "text")

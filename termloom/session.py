@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -42,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """``cut``, and the shuffles that led to it, which nothing reads again, leave the disk: else they stay until the driver
+    happens to collect its garbage."""
+    out = cut(df)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """``df`` checkpointed, with the rows of each partition and their order kept."""
     ensure_checkpoint_dir(df.sparkSession)

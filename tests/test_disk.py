@@ -1,11 +1,13 @@
 """What annotation writes to disk: rows of numbers, not the tables they point to."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from termloom.operators import annotate as A
 from termloom.operators import packed
+from termloom.plans import catalogue as Q
 
 
 def shuffled(spark, run) -> tuple[list, float]:
@@ -50,3 +52,21 @@ def test_unpacked_texts_are_shuffled_once(spark):
     got, mb = shuffled(spark, lambda: packed.unpack(rows).groupBy("row_id").agg(F.count("item").alias("n")))
     assert len(got) == 200 and {r["n"] for r in got} == {2}
     assert mb < 3 * size, (mb, size)
+
+
+def test_mentions_are_shuffled_without_what_they_stand_for(spark, tmp_path):
+    words = [f"{a}{b}itis" for a in ("arn", "bol", "cam", "dor") for b in ("ab", "ec", "id", "of", "ug")]
+    rng = random.Random(7)
+    noise = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(2000))
+    concepts = [(k * 10 + c, "UMLS", f"C{k}{c}", f"{w} kind {c}", "condition", None, None, None) for k, w in enumerate(words) for c in range(5)]
+    rows = {"concept": (concepts, "concept_id bigint, vocabulary_id string, code string, name string, domain string, concept_class string, is_billable boolean, valid_end date"),
+            "concept_synonym": ([(c[0], f"{words[c[0] // 10]} ({noise()})", "preferred", "UMLS") for c in concepts], "concept_id bigint, term string, term_type string, source string"),
+            "concept_relationship": ([], "concept_id_1 bigint, concept_id_2 bigint, relationship_id string, confidence double, source string"),
+            "patterns": ([(1, "sore toe", words[0])], "pattern_id bigint, pattern string, targets string"), "senses": ([(1, words[1], words[2], "pulse")], "sense_id bigint, term string, target string, cues string"),
+            "documents": ([(d, "No " + ". ".join(words) + ". Sore toe, pulse 60.") for d in range(100)], "doc_id bigint, text string")}
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got, mb = shuffled(spark, lambda: Q.q_annotations(spark, str(tmp_path)))
+    want = {w: (k * 10, "negated" if k == 0 else None) for k, w in enumerate(words)} | {"Sore toe": (0, None)}
+    assert len(got) == 2100 and {r["text"]: (r["concept_id"], r["assertion"]) for r in got} == want
+    assert mb < 3, mb
